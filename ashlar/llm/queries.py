@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ashlar.llm import langid
+from ashlar.llm import chat, langid, warc
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
 
 
 def _docs(spark, d):
@@ -15,8 +15,16 @@ def op1_language_id(spark, d):
     return langid.op1(_docs(spark, d))
 
 
+def op5_warc(spark, d):
+    return warc.op5(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def op10_chat_format(spark, d):
+    return chat.op10(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id}
+    return {f.__name__: f for f in (op1_language_id, op5_warc, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
