@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat, langid, warc
+from ashlar.llm import chat, decontam, langid, warc
 
-_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
+_SQL: dict[str, str] = {"op4_decontamination": decontam.SQL, "op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
 
 
 def _docs(spark, d):
@@ -15,6 +15,10 @@ def op1_language_id(spark, d):
     return langid.op1(_docs(spark, d))
 
 
+def op4_decontamination(spark, d):
+    return decontam.op4(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 def op5_warc(spark, d):
     return warc.op5(spark.read.parquet(f"{d}/pages.parquet"))
 
@@ -24,7 +28,7 @@ def op10_chat_format(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_warc, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
