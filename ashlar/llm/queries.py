@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat, decontam, langid, warc
+from ashlar.llm import chat, decontam, langid, quality, warc
 
 _SQL: dict[str, str] = {"op4_decontamination": decontam.SQL, "op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
 
@@ -23,12 +23,16 @@ def op5_warc(spark, d):
     return warc.op5(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+def op9_quality(spark, d):
+    return quality.op9(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op10_chat_format(spark, d):
     return chat.op10(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_warc, op9_quality, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
