@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat, decontam, jaccard, langid, quality, warc
+from ashlar.llm import chat, decontam, jaccard, langid, quality, suffixes, warc
 
 _SQL: dict[str, str] = {"op4_decontamination": decontam.SQL, "op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
 
@@ -23,6 +23,10 @@ def op5_warc(spark, d):
     return warc.op5(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+def op6_suffix_dedup(spark, d):
+    return suffixes.op6(_docs(spark, d))
+
+
 def op7_ngram_jaccard(spark, d):
     return jaccard.op7(_docs(spark, d))
 
@@ -36,7 +40,7 @@ def op10_chat_format(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_warc, op7_ngram_jaccard, op9_quality, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_warc, op6_suffix_dedup, op7_ngram_jaccard, op9_quality, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
