@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat, decontam, jaccard, langid, mixing, quality, suffixes, warc
+from ashlar.llm import chat, decontam, jaccard, langid, lm, mixing, quality, suffixes, warc
 
 _SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_decontamination": decontam.SQL, "op5_warc": warc.SQL, "op10_chat_format": chat.SQL}
 
@@ -19,6 +19,10 @@ def op2_mixing(spark, d):
     return mixing.op2(_docs(spark, d))
 
 
+def op3_lm_scoring(spark, d):
+    return lm.op3(_docs(spark, d))
+
+
 def op4_decontamination(spark, d):
     return decontam.op4(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
@@ -44,7 +48,7 @@ def op10_chat_format(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_decontamination, op5_warc, op6_suffix_dedup, op7_ngram_jaccard, op9_quality, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_lm_scoring, op4_decontamination, op5_warc, op6_suffix_dedup, op7_ngram_jaccard, op9_quality, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
