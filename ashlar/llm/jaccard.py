@@ -33,10 +33,10 @@ from pyspark.sql.types import StructType
 from ashlar.llm import words as W
 from ashlar.llm.decontam import _bitmap, _has
 from ashlar.llm.graph import components
-from ashlar.llm.store import release, staged
+from ashlar.llm.store import drop, release, staged
 
 CELLS, BLOCK, LARGEST = 20, 12, 24  # log2 of count cells and of cells a row; the largest boundary tried
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -197,39 +197,44 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     sigs = staged(texts.mapInArrow(_signatures(k, t, shared), schema), "signatures")
 
     def lists(col: str) -> DataFrame:
-        rows = sigs.select("e", "n", F.explode(col).alias("w"))
+        rows = sigs.select("e", "n", F.posexplode(col).alias("i", "w"))
         more = rows.groupBy("w").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi").select("w", "lo")
-        return rows.join(more, "w").select("w", "e", "n", "lo").distinct()
+        return rows.join(more, "w").select("w", "e", "n", "i", "lo").distinct()
 
     light = lists("light").filter("e <> lo").select(F.col("e").alias("a"), F.col("lo").alias("b")).distinct()
     labels = _relabel(None, light)
     heavy = staged(lists("heavy").drop("lo"), "lists")
     release(spark)
-    need = heavy.select("e").distinct()
-    n_need = need.count()
-    if n_need:
-        bits = spark.sparkContext.broadcast(_bitmap(need, "e", n_need))
-        sets = texts.select("_t").mapInArrow(_sets(k, bits), "e long, s binary").groupBy("e").agg(F.first("s").alias("s"))
-        sets = staged(sets.join(need, "e"), "sets", codec="uncompressed")
-        release(spark)
+    if heavy.limit(1).count():
 
         def verified(pairs: DataFrame) -> DataFrame:
+            """Only the sets of this round's pairs are made, moved and, for the round, kept."""
+            need = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct()
+            bits = spark.sparkContext.broadcast(_bitmap(need, "e", need.count()))
+            sets = texts.select("_t").mapInArrow(_sets(k, bits), "e long, s binary").groupBy("e").agg(F.first("s").alias("s"))
+            sets = staged(sets, "sets")
             p = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("sb")), "b")
-            return staged(p.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long, ok boolean"), "verified")
+            out = staged(p.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long, ok boolean"), "verified")
+            drop(sets)
+            return out
 
         done = None
         for turn in range(STAR_ROUNDS + 1):
             c = F.coalesce("c", "e").alias("c")
-            here = heavy.join(labels, "e", "left").select("w", "e", "n", c)
-            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("e"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("p"))
+            here = heavy.join(labels, "e", "left").select("w", "e", "n", "i", c)
+            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("e"), F.col("n").alias("n"), F.col("i").alias("i"), F.col("c").alias("c"))).alias("p"))
             mixed = mixed.filter("c0 < c1").select("w", "p")
             here = staged(here.join(mixed, "w"), "mixed")
-            close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * t
+
+            def close(n, i, m, j):
+                """Sizes n and m that meet at positions i and j of their orders can still have the overlap of a link."""
+                return (F.least(i, j) + 1 + F.least(n - i, m - j) - 1) * (100 + t) >= (n + m) * t
+
             if turn < STAR_ROUNDS:
-                pairs = here.filter((F.col("c") != F.col("p.c")) & close(F.col("n"), F.col("p.n"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+                pairs = here.filter((F.col("c") != F.col("p.c")) & close(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
             else:  # whatever still crosses components, pair by pair
-                l, r = here.select("w", "e", "n", "c").alias("l"), here.select("w", "e", "n", "c").alias("r")
-                cross = (F.col("l.e") < F.col("r.e")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("r.n"))
+                l, r = here.select("w", "e", "n", "i", "c").alias("l"), here.select("w", "e", "n", "i", "c").alias("r")
+                cross = (F.col("l.e") < F.col("r.e")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"))
                 pairs = l.join(r, "w").filter(cross).select(F.col("l.e").alias("a"), F.col("r.e").alias("b")).distinct()
             if done is not None:
                 pairs = pairs.join(done, (F.least(pairs.a, pairs.b) == done.x) & (F.greatest(pairs.a, pairs.b) == done.y), "left_anti")

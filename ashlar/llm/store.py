@@ -48,7 +48,14 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ashlar_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    delete(df.sparkSession, df._ashlar_path)
 
 
 def release(spark: SparkSession) -> None:
