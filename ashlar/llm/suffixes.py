@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from ashlar.llm import words as W
-from ashlar.llm.store import release, staged
+from ashlar.llm.store import drop, release, staged
 
 PACK, BUCKET = 4 << 20, 32 << 20  # bytes of text a pack, of fingerprints a bucket
 
@@ -137,6 +137,31 @@ def _candidates(data, off, parts, length: int) -> np.ndarray:
     return s[s + length <= off[doc + 1]]
 
 
+def _runs(s: np.ndarray) -> np.ndarray:
+    """Rising positions as alternating first and end of their runs."""
+    if not len(s):
+        return s
+    cut = np.flatnonzero(np.diff(s) != 1)
+    return np.stack([np.concatenate([s[:1], s[cut + 1]]), np.concatenate([s[cut], s[-1:]]) + 1], 1).ravel()
+
+
+def _starts(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    r = np.array(W.column(batch, "runs")[i].values, dtype=np.int64)
+    return np.concatenate([np.arange(a, b) for a, b in zip(r[::2], r[1::2], strict=True)]) if len(r) else r
+
+
+def _mark(length: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                _, data, off = _read(one, 0)
+                runs = _runs(_candidates(data, off, W.column(one, "f1")[0].as_py(), length))
+                yield pa.RecordBatch.from_arrays([*[W.column(one, c) for c in ("pack", "blob", "off", "docs")], pa.array([runs], pa.list_(pa.int64()))], ["pack", "blob", "off", "docs", "runs"])
+
+    return run
+
+
 _OUT = ["bucket", "pack", "hs", "many"]
 
 
@@ -171,7 +196,7 @@ def _sort_bucket(length: int, n: int, lo: int, hi: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 pack, data, off = _read(batch, i)
-                h = fingerprints(data, _candidates(data, off, W.column(batch, "f1")[i].as_py(), length), length)
+                h = fingerprints(data, _starts(batch, i), length)
                 b = _bucket(h, n)
                 yield _emit(pack, h[(b >= lo) & (b < hi)], n, lo, hi)
 
@@ -200,7 +225,7 @@ def _cut(length: int, make):
         for batch in batches:
             for i in range(batch.num_rows):
                 _, data, off = _read(batch, i)
-                s = _candidates(data, off, W.column(batch, "f1")[i].as_py(), length)
+                s = _starts(batch, i)
                 if len(s):
                     _, inv = np.unique(fingerprints(data, s, length), return_inverse=True)
                     s = s[_bits(W.column(batch, "f2")[i].as_py())[inv]]
@@ -261,19 +286,22 @@ def _apply(docs: DataFrame, text: str, carry: list[str], length: int, make) -> D
     def per_pack(f: DataFrame, name: str) -> DataFrame:
         return f.groupBy("pack").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name))
 
-    ranked = per_pack(f1, "f1")
     maybe = (f1.agg(F.sum("tied")).first()[0] or 0) * v / len(d) * 8  # bytes of fingerprints to sort, about
+    marked = packs.join(per_pack(f1, "f1"), "pack", "left").mapInArrow(_mark(length), StructType([*schema.fields, StructField("runs", ArrayType(LongType()))]))
+    marked = staged(marked, "marked-packs")
+    drop(packs)
+    release(spark)
     n2 = buckets(maybe)
     passes = min(n2, max(1, -(-int(maybe) // max(size // 2, 1))))
     tied = None
     for g in range(passes):
         lo, hi = n2 * g // passes, n2 * (g + 1) // passes
-        joined = packs.select("pack", "blob", "off").join(ranked, "pack")
-        one = staged(joined.mapInArrow(_sort_bucket(length, n2, lo, hi), blobs).groupBy("bucket").applyInArrow(_ties, _TIES), "ties")
+        suffixes = marked.filter("size(runs) > 0").select("pack", "blob", "off", "runs")
+        one = staged(suffixes.mapInArrow(_sort_bucket(length, n2, lo, hi), blobs).groupBy("bucket").applyInArrow(_ties, _TIES), "ties")
         tied = one if tied is None else tied.union(one)
         release(spark)
     out = StructType([StructField("_c", kind), *StructType.fromDDL(make.ddl).fields])
-    return packs.join(ranked, "pack", "left").join(per_pack(tied, "f2"), "pack", "left").mapInArrow(_cut(length, make), out)
+    return marked.join(per_pack(tied, "f2"), "pack", "left").mapInArrow(_cut(length, make), out)
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
