@@ -30,7 +30,7 @@ from ashlar.llm import words as W
 from ashlar.llm.store import release, staged
 
 CLASSES, WIDTH = 32, 64
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 BATCH = 8192
 #: hash of the end token; no word has it but by collision
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -179,7 +179,7 @@ class Model:
             k = c[inside].astype(np.uint64) * _U(0x9E3779B97F4A7C15)
             yield (
                 s, e, c, [(x & _U(CLASS_ROWS - 1)).astype(np.int64) for x in part], inside, ids[s:e][inside] % WIDTH,
-                [((x[inside] + k) * _U(0xBF58476D1CE4E5B9) >> _U(64 - 15)).astype(np.int64) for x in part],
+                [((x[inside] + k) * _U(0xBF58476D1CE4E5B9) >> _U(64 - 14)).astype(np.int64) for x in part],
             )
 
     def score(self, h, first, ids) -> np.ndarray:
@@ -234,7 +234,7 @@ def _train(shared, rate: float):
         m.cw, m.ww = before
         b = 0
         for old, new, n in zip(before, after, touched, strict=True):
-            change = ((new - old) * n[:, None]).reshape(-1, _BLOCK)
+            change = (new - old).astype(np.float16).reshape(-1, _BLOCK)
             per = len(n) // len(change)
             for i, x in enumerate(change):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n[i * per : (i + 1) * per].tobytes()], pa.binary())], ["block", "d", "n"])
@@ -244,13 +244,13 @@ def _train(shared, rate: float):
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    out = [t.column("block").slice(0, 1).combine_chunks()]
-    for c in ("d", "n"):
-        total = np.zeros(len(t.column(c)[0].as_buffer()) // 4, np.float32)
-        for x in t.column(c):
-            total += np.frombuffer(x.as_buffer(), np.float32)
-        out.append(pa.array([total.tobytes()], pa.binary()))
-    return pa.Table.from_arrays(out, ["block", "d", "n"])
+    """Of one block: the changes summed by how often each row was touched, and those counts summed."""
+    total = count = 0
+    for d, n in zip(t.column("d"), t.column("n"), strict=True):
+        n = np.frombuffer(n.as_buffer(), np.float32)
+        total = total + np.frombuffer(d.as_buffer(), np.float16).astype(np.float32).reshape(len(n), -1) * n[:, None]
+        count = count + n
+    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "d": pa.array([total.tobytes()], pa.binary()), "n": pa.array([count.tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, rounds: int = 2, rate: float = 1.0) -> tuple[Model, DataFrame]:

@@ -79,7 +79,7 @@ def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: dict[s
     return _with(leaves, have, levels)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights: dict[str, dict[str, int]] | None = None, text: str = "text", key: str = "doc_id", max_epochs: int = 3, seed: int = 17, slice_docs: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights: dict[str, dict[str, int]] | None = None, text: str = "text", key: str = "doc_id", max_epochs: int = 3, seed: int = 17, slice_docs: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and epoch taken: key, levels, carry, n_tokens, epoch, tokens_taken.
 
     ``levels`` names the columns of the tree from the root down; the budget is ``share`` of the corpus' tokens.
