@@ -1,3 +1,64 @@
-"""Placeholder until the stages are written."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, mixture.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of
+``documents`` (the last one the mixture's rows). ``run`` writes and rereads between stages, as the check does.
+
+1. quality: documents that the classifier scores below 0.3 go.
+2. near_duplicates: of each component of the n-gram Jaccard join the smallest doc_id stays.
+3. repeated_passages: bytes covered by a 400-byte string that starts elsewhere too are cut out; documents of which
+   nothing but white space is left go.
+4. benchmark_leaks: documents that hold a benchmark window go.
+5. mixture: leaves of the domain-language-source tree get their token budgets; a row per document and epoch taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ashlar.llm import decontam, jaccard, mixing, quality, suffixes
+from ashlar.llm.store import staged
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit on the labels whose fold isn't held out, keep what is predicted 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out(F.col("doc_id")))
+    return quality.classify(docs, quality.fit(docs, labels)).filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one whose doc_id names it. Repeated rows of that id collapse to one."""
+    keep = jaccard.join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"])).select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup(docs)
+    return out.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.op2(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("benchmark_leaks", benchmark_stage),
+    ("mixture", mixture_stage),
+]
+
+#: trees, components and suffix ties are beyond SQL
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
