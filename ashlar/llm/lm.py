@@ -4,7 +4,7 @@ Tokens are words (runs of bytes other than white space, A-Z lowered) and one end
 texts rank the vocabulary: the first ``CLASSES - 1`` times ``WIDTH`` tokens form classes of WIDTH by rank, all others are
 the last class. The probability of a token is P(class | history) P(token | class, history); in the last class it is the
 smoothed share of the token's count. Both softmaxes start from the counts and add rows of two hashed weight tables, one
-row per feature: the previous token, the two previous, and skips to the second and third token back.
+row per feature: the previous token, the two previous, and the skip to the second token back.
 
 Training is distributed: in each of ``rounds`` rounds every task starts from the broadcast tables, runs minibatch
 gradient steps over its part of that round's texts (each training text is used in one round, whole), and returns what
@@ -31,11 +31,10 @@ from ashlar.llm.store import release, staged
 
 CLASSES, WIDTH = 32, 64
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
-BATCH = 8192
+BATCH = 4096
 #: hash of the end token; no word has it but by collision
 END = np.uint64(0x1F83D9ABFB41BD6B)
 BOS = np.uint64(0x5BE0CD19137E2179)
-_FEATURES = 4
 _U = np.uint64
 
 
@@ -142,29 +141,20 @@ class Model:
             out[ok] = h[ok - k]
             return out
 
-        a, b, c = back(1), back(2), back(3)
-        return [W.mix(a + _U(1)), W.combine(a, b), W.mix(b + _U(2)), W.mix(c + _U(3))]
+        a, b = back(1), back(2)
+        return [W.mix(a + _U(1)), W.combine(a, b), W.mix(b + _U(2))]
 
-    @staticmethod
-    def softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
-        return x
-
-    def classes(self, rows) -> np.ndarray:
-        x = self.cw[rows[0]]
-        for r in rows[1:]:
-            x += self.cw[r]
-        x += self.class_bias
-        return self.softmax(x)
-
-    def words(self, rows, cls) -> np.ndarray:
-        x = self.ww[rows[0]]
+    def _odds(self, table, rows, bias, buffers) -> np.ndarray:
+        """exp of the summed rows and bias; biases are at most 0 and weights small, so nothing overflows."""
+        n = len(rows[0])
+        x, y = buffers[0][:n], buffers[1][:n]
+        np.take(table, rows[0], axis=0, out=x, mode="clip")
         for r in rows[1:]:
-            x += self.ww[r]
-        x += self.word_bias[cls]
-        return self.softmax(x)
+            np.take(table, r, axis=0, out=y, mode="clip")
+            x += y
+        x += bias
+        np.minimum(x, 60, out=x)
+        return np.exp(x, out=x)
 
     def batches(self, h, first, ids):
         """Minibatches: slice, class of each token, rows of the class table, indices of ranked tokens, their word and rows."""
@@ -185,24 +175,26 @@ class Model:
     def score(self, h, first, ids) -> np.ndarray:
         """log10 probability of every token; in the last class, of the class alone."""
         out = np.empty(len(h))
+        cb, wb = ([np.empty((BATCH, n), np.float32) for _ in range(2)] for n in (CLASSES, WIDTH))
         for s, e, c, rows, inside, word, wrows in self.batches(h, first, ids):
-            p = self.classes(rows)[np.arange(e - s), c].astype(float)
+            x = self._odds(self.cw, rows, self.class_bias, cb)
+            p = x[np.arange(e - s), c].astype(float) / x.sum(1)
             if len(inside):
-                p[inside] *= self.words(wrows, c[inside])[np.arange(len(inside)), word]
+                x = self._odds(self.ww, wrows, self.word_bias[c[inside]], wb)
+                p[inside] *= x[np.arange(len(inside)), word] / x.sum(1)
             out[s:e] = np.log10(np.maximum(p, 1e-30))
         return out
 
     def learn(self, h, first, ids, rate, touched) -> None:
+        cb, wb = ([np.empty((BATCH, n), np.float32) for _ in range(2)] for n in (CLASSES, WIDTH))
         for s, e, c, rows, inside, word, wrows in self.batches(h, first, ids):
-            g = self.classes(rows)
-            g[np.arange(e - s), c] -= 1
-            for r in rows:
-                _step(self.cw, touched[0], r, g, rate)
-            if len(inside):
-                g = self.words(wrows, c[inside])
-                g[np.arange(len(inside)), word] -= 1
-                for r in wrows:
-                    _step(self.ww, touched[1], r, g, rate)
+            for table, n, r, bias, hit, buf in ((self.cw, touched[0], rows, self.class_bias, c, cb), (self.ww, touched[1], wrows, self.word_bias[c[inside]], word, wb)):
+                if len(hit):
+                    g = self._odds(table, r, bias, buf)
+                    g /= g.sum(1, keepdims=True)
+                    g[np.arange(len(hit)), hit] -= 1
+                    for x in r:
+                        _step(table, n, x, g, rate)
 
 
 def _step(table, touched, rows, g, rate) -> None:
