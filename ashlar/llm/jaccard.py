@@ -36,7 +36,7 @@ from ashlar.llm.graph import components
 from ashlar.llm.store import drop, release, staged
 
 CELLS, BLOCK, LARGEST = 20, 12, 24  # log2 of count cells and of cells a row; the largest boundary tried
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int):
@@ -184,6 +184,18 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(comp, "labels")
 
 
+def _possible(t: int):
+    """Can a pair still have the overlap of a link? It shares m tokens of its prefixes, the last at ia and ib, prefixes end at za and zb.
+
+    All common tokens up to the earlier end are among the m; beyond it no more can be common than that side has left.
+    And after the last shared token neither side can add more than it has left.
+    """
+    need = lambda bound: bound * (100 + t) >= (F.col("na") + F.col("nb")) * t
+    after = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * t / 100) + 1)  # noqa: E731  what follows a prefix
+    m = F.col("m")
+    return need(m + F.when(F.col("za") <= F.col("zb"), after("na")).otherwise(after("nb"))) & need(m + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1))
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t: int = 80, verify_cost: float = 8.0) -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs``; two rows link when t% of their union is common."""
     spark = docs.sparkSession
@@ -197,15 +209,19 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     sigs = staged(texts.mapInArrow(_signatures(k, t, shared), schema), "signatures")
 
     def lists(col: str) -> DataFrame:
-        rows = sigs.select("e", "n", F.posexplode(col).alias("i", "w"))
+        rows = sigs.select("e", "n", F.element_at(col, -1).alias("z"), F.posexplode(col).alias("i", "w"))
         more = rows.groupBy("w").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi").select("w", "lo")
-        return rows.join(more, "w").select("w", "e", "n", "i", "lo").distinct()
+        return rows.join(more, "w").select("w", "e", "n", "i", "z", "lo").distinct()
 
     light = lists("light").filter("e <> lo").select(F.col("e").alias("a"), F.col("lo").alias("b")).distinct()
     labels = _relabel(None, light)
     heavy = staged(lists("heavy").drop("lo"), "lists")
     release(spark)
     if heavy.limit(1).count():
+        # members whose prefix is shared most, relative to its length, make the best pivots: the text that copies vary
+        shares = heavy.groupBy("e").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
+        side = lambda x: heavy.select("w", F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("n", "i", "z")])
+        same = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * t
 
         def verified(pairs: DataFrame) -> DataFrame:
             """Only the sets of this round's pairs are made, moved and, for the round, kept."""
@@ -220,27 +236,24 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
 
         done = None
         for turn in range(STAR_ROUNDS + 1):
-            c = F.coalesce("c", "e").alias("c")
-            here = heavy.join(labels, "e", "left").select("w", "e", "n", "i", c)
-            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("e"), F.col("n").alias("n"), F.col("i").alias("i"), F.col("c").alias("c"))).alias("p"))
-            mixed = mixed.filter("c0 < c1").select("w", "p")
+            here = heavy.join(labels, "e", "left").select("w", "e", "n", F.coalesce("c", "e").alias("c")).join(shares, "e")
+            first = F.col("central") if turn == 0 else F.xxhash64("e", F.lit(turn))
+            pivot = F.max(F.struct(first.alias("first"), F.col("e").alias("e"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("p")
+            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), pivot).filter("c0 < c1").select("w", "p")
             here = staged(here.join(mixed, "w"), "mixed")
-
-            def close(n, i, m, j):
-                """Sizes n and m that meet at positions i and j of their orders can still have the overlap of a link."""
-                return (F.least(i, j) + 1 + F.least(n - i, m - j) - 1) * (100 + t) >= (n + m) * t
-
             if turn < STAR_ROUNDS:
-                pairs = here.filter((F.col("c") != F.col("p.c")) & close(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+                pairs = here.filter((F.col("c") != F.col("p.c")) & same(F.col("n"), F.col("p.n"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
             else:  # whatever still crosses components, pair by pair
-                l, r = here.select("w", "e", "n", "i", "c").alias("l"), here.select("w", "e", "n", "i", "c").alias("r")
-                cross = (F.col("l.e") < F.col("r.e")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"))
-                pairs = l.join(r, "w").filter(cross).select(F.col("l.e").alias("a"), F.col("r.e").alias("b")).distinct()
+                l, r = here.select("w", F.col("e").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), here.select("w", F.col("e").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+                pairs = l.join(r, "w").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & same(F.col("na"), F.col("nb"))).select("a", "b").distinct()
             if done is not None:
                 pairs = pairs.join(done, (F.least(pairs.a, pairs.b) == done.x) & (F.greatest(pairs.a, pairs.b) == done.y), "left_anti")
             if turn < STAR_ROUNDS:
                 pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("m")).select("a", "m.b")
-            pairs = staged(pairs, "pairs")
+            met = pairs.join(side("a"), "a").join(side("b"), ["w", "b"])
+            met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in ("na", "nb", "ia", "ib", "za", "zb")])
+            pairs = staged(met.filter(_possible(t)).select("a", "b"), "pairs")
+            drop(here)
             if not pairs.limit(1).count():
                 if turn < STAR_ROUNDS:
                     continue
