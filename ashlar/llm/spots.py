@@ -36,14 +36,14 @@ def signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS,
     anchors = list(dict.fromkeys(anchors))
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _GAP)
     marked = F.transform(words, lambda w: F.when(w.isin(anchors), F.lit(_MARK)).otherwise(w))
-    split = F.split(F.concat(F.lit(" "), F.array_join(marked, " "), F.lit(" ")), f"(?: +{_MARK})+(?= )")
-    df = df.withColumn("_parts", split)
+    # parts between anchors, the first following none; every expression here is a plain scan, however long the text
+    parts = F.split(F.array_join(marked, " "), _MARK)
+    df = df.withColumn("_parts", F.filter(F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.trim(p)), lambda p: p != ""))
 
     def after(part: Column, i: Column) -> Column:
-        more = F.concat(part, *[F.coalesce(F.get("_parts", i + k), F.lit("")) for k in range(1, chain)])
-        return F.substring_index(F.trim(F.replace(more, F.lit("  "), F.lit(" "))), " ", chain)
+        return F.substring_index(F.concat_ws(" ", part, *[F.get("_parts", i + k) for k in range(1, chain)]), " ", chain)
 
-    chains = F.filter(F.slice(F.transform("_parts", after), 2, 1 << 30), lambda c: c != "")
+    chains = F.transform("_parts", after)
     whole = F.filter(F.array(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _GAP, " "))), lambda c: c != "")
     df = df.withColumn("_chains", chains)
     chains = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(whole)
