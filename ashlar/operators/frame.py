@@ -294,7 +294,7 @@ class Frame:
             raise IndexError("take: index out of range")
         d = positions.number(self.df, [k for k in self.order] or self._by(), "_row")
         at = self.df.sparkSession.createDataFrame([(p, int(i)) for p, i in enumerate(indices)], "_at long, _row long")
-        return self._new(d.join(at, "_row").orderBy("_at").drop("_row", "_at"))
+        return Frame(d.join(at, "_row").orderBy("_at").drop("_row", "_at"))
 
     def sample(self, n: int | None = None, fraction: float | None = None, seed: int = 1) -> Frame:
         """Without replacement, of exact size."""

@@ -1 +1 @@
-
+"""Readers, writers and the policy that guards them."""
