@@ -4,7 +4,7 @@ A document's set holds its distinct ``k``-word shingles (64-bit hashes); equal s
 
 * Light sets (at most x shingles) enumerate fixed-size subsets: a pair of sizes (a, b) links exactly if it shares
   c = ceil(t(a+b)/(100+t)) shingles, so both emit all their subsets of c shingles under a key that names the two sizes.
-  Whoever meets in a key is linked; no verification is needed.
+  A set of the smaller size is linked with whoever it meets in a key; no verification is needed.
 * Heavy sets scan inverted lists. Lists are kept for the prefix of each set only, in an order that puts rare shingles
   first (their counts in 2**20 hash cells, a table of fixed size); light sets that can link with a heavy one join in.
 * x minimises the summed cost of both sides over the sizes that occur: subsets against list entries times ``verify_cost``.
@@ -126,7 +126,8 @@ def _signatures(k: int, t: int, shared):
                                 c = overlap(a, b, t)
                                 sub = s[np.array(list(combinations(range(a), c)))].reshape(-1, c)
                                 tag = np.uint64(min(a, b) * 1000 + max(a, b))
-                                keys.append(W.mix(W.mix(sub).sum(1) ^ W.mix(sub * np.uint64(3)).sum(1) + tag))
+                                key = W.mix(W.mix(sub).sum(1) ^ W.mix(sub * np.uint64(3)).sum(1) + tag)
+                                keys.append(key & ~np.uint64(1) | np.uint64(a <= b))  # the last bit: of the smaller size
                         light[i] = np.concatenate(keys).view(np.int64)
                     if 100 * a // t > x:
                         o = (level[s >> np.uint64(64 - CELLS)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
@@ -213,7 +214,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
         more = rows.groupBy("w").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi").select("w", "lo")
         return rows.join(more, "w").select("w", "e", "n", "i", "z", "lo").distinct()
 
-    light = lists("light").filter("e <> lo").select(F.col("e").alias("a"), F.col("lo").alias("b")).distinct()
+    # under a key of sizes (a, b) a set of the smaller size links with all others, two of the greater size need not
+    keyed = sigs.select("e", F.explode("light").alias("key")).select("e", F.shiftright("key", 1).alias("w"), F.expr("key & 1L = 1").alias("small"))
+    hubs = keyed.groupBy("w").agg(F.min(F.when(F.col("small"), F.col("e"))).alias("lo"), F.min("e").alias("e0"), F.max("e").alias("e1"))
+    hubs = hubs.filter("lo is not null and e0 < e1").select("w", "lo")
+    light = keyed.join(hubs, "w").filter("e <> lo").select(F.col("e").alias("a"), F.col("lo").alias("b")).distinct()
     labels = _relabel(None, light)
     heavy = staged(lists("heavy").drop("lo"), "lists")
     release(spark)

@@ -54,6 +54,8 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int):
     p = W.prefix_hash(buf)
     a, b = lead[: len(lead) - n + 1], stop[n - 1 :]
     keep = own[a] == own[b - 1]
+    if n == 1:
+        keep &= buf[a] != mark
     a, b = a[keep], b[keep]
     return own[a], W.mix((p[b] - p[a]) * W.powers(len(buf))[1][a] + np.uint64(n))
 

@@ -253,7 +253,7 @@ def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, rounds: int =
     # the head: all tokens of the highest powers of two of counts that fit
     level = F.floor(F.log2("n")).cast("int")
     levels = counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).orderBy(F.desc("l")).collect()  # 63 rows at most
-    n, v, least, held = sum(r["n"] for r in levels), sum(r["v"] for r in levels), 63, 0
+    n, v, least, held = sum(r["n"] for r in levels), sum(r["v"] for r in levels), 62, 0
     for r in levels:
         held += r["v"]
         if held > head:
