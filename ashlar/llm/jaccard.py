@@ -6,7 +6,7 @@ A document's set holds its distinct ``k``-word shingles (64-bit hashes); equal s
   c = ceil(t(a+b)/(100+t)) shingles, so both emit all their subsets of c shingles under a key that names the two sizes.
   A set of the smaller size is linked with whoever it meets in a key; no verification is needed.
 * Heavy sets scan inverted lists. Lists are kept for the prefix of each set only, in an order that puts rare shingles
-  first (their counts in 2**20 hash cells, a table of fixed size); light sets that can link with a heavy one join in.
+  first (their counts in 2**24 hash cells, a table of fixed size); light sets that can link with a heavy one join in.
 * x minimises the summed cost of both sides over the sizes that occur: subsets against list entries times ``verify_cost``.
 
 Links are wanted as components, so a list isn't expanded into pairs: in a few rounds every member is checked against one
@@ -21,6 +21,7 @@ Null doc_ids take part but never name a component unless all of its ids are null
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import comb
 
@@ -35,7 +36,7 @@ from ashlar.llm.decontam import _bitmap, _has
 from ashlar.llm.graph import components
 from ashlar.llm.store import drop, release, staged
 
-CELLS, BLOCK, LARGEST = 20, 12, 24  # log2 of count cells and of cells a row; the largest boundary tried
+CELLS, BLOCK, LARGEST = 24, 16, 24  # log2 of count cells and of cells a row; the largest boundary tried
 STAR_ROUNDS = 1
 
 
@@ -91,19 +92,19 @@ def _count(k: int):
             data, off = W.buffers(batch.column(0))
             for lo, hi in W.chunks(off):
                 w = W.Words(*W.slice_rows(data, off, lo, hi), W.SPACED)
-                cells += np.bincount(W.windows(w.hash, k) >> np.uint64(64 - CELLS), minlength=1 << CELLS).astype(np.uint32)
+                np.add.at(cells, (W.windows(w.hash, k) >> np.uint64(64 - CELLS)).astype(np.int64), 1)
                 n = np.diff(w.first)
                 n = np.where(n >= k, n - k + 1, np.minimum(n, 1))
                 sizes += np.bincount(n[(n > 0) & (n < len(sizes))], minlength=len(sizes))
-        rows = cells.reshape(-1, 1 << BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(rows), dtype=np.int32)), pa.array([sizes.tobytes(), *(r.tobytes() for r in rows)], pa.binary())], ["block", "v"])
+        rows = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, 1 << BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(rows), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in (sizes, *rows)], pa.binary())], ["block", "v"])
 
     return run
 
 
 def _add(t: pa.Table) -> pa.Table:
     b = t.column("block")[0].as_py()
-    total = sum(np.frombuffer(x.as_py(), np.uint32 if b >= 0 else np.int64).astype(np.int64) for x in t.column("v"))
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint16 if b >= 0 else np.int64).astype(np.int64) for x in t.column("v"))
     v = np.frexp(total.astype(float))[1].astype(np.uint8) if b >= 0 else total  # bit lengths: 0 to 63
     return pa.table({"block": pa.array([b], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
 
@@ -201,7 +202,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     """(key, n_shingles, component_id) per row of ``docs``; two rows link when t% of their union is common."""
     spark = docs.sparkSession
     texts = docs.select(F.struct(F.col(key).alias("k")).alias("_c"), F.col(text).alias("_t"))
-    counted = texts.select("_t").mapInArrow(_count(k), "block int, v binary").groupBy("block").applyInArrow(_add, "block int, v binary").collect()  # 257 rows, 1 MB
+    counted = texts.select("_t").mapInArrow(_count(k), "block int, v binary").groupBy("block").applyInArrow(_add, "block int, v binary").collect()  # 257 rows, 16 MB
     got = {r["block"]: r["v"] for r in counted}
     level = np.concatenate([np.frombuffer(got[b], np.uint8) for b in range(1 << (CELLS - BLOCK))]) if got else np.zeros(1 << CELLS, np.uint8)
     x = boundary(np.frombuffer(got[-1], np.int64), t, verify_cost) if got else 0
@@ -241,16 +242,18 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
 
         done = None
         for turn in range(STAR_ROUNDS + 1):
-            here = heavy.join(labels, "e", "left").select("w", "e", "n", F.coalesce("c", "e").alias("c")).join(shares, "e")
+            here = heavy.join(labels, "e", "left").select("w", "e", "n", "i", F.coalesce("c", "e").alias("c")).join(shares, "e")
             first = F.col("central") if turn == 0 else F.xxhash64("e", F.lit(turn))
             pivot = F.max(F.struct(first.alias("first"), F.col("e").alias("e"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("p")
             mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), pivot).filter("c0 < c1").select("w", "p")
             here = staged(here.join(mixed, "w"), "mixed")
             if turn < STAR_ROUNDS:
                 pairs = here.filter((F.col("c") != F.col("p.c")) & same(F.col("n"), F.col("p.n"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
-            else:  # whatever still crosses components, pair by pair
-                l, r = here.select("w", F.col("e").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), here.select("w", F.col("e").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-                pairs = l.join(r, "w").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & same(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+            else:  # whatever still crosses components, pair by pair: the first shared token must leave room for the rest
+                end = lambda x: here.select("w", F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("c", "n", "i")])
+                room = lambda x: (F.col("n" + x) - F.col("i" + x)) * (100 + t) >= (F.col("na") + F.col("nb")) * t
+                cross = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & same(F.col("na"), F.col("nb")) & room("a") & room("b")
+                pairs = end("a").join(end("b"), "w").filter(cross).select("a", "b").distinct()
             if done is not None:
                 pairs = pairs.join(done, (F.least(pairs.a, pairs.b) == done.x) & (F.greatest(pairs.a, pairs.b) == done.y), "left_anti")
             if turn < STAR_ROUNDS:
