@@ -187,15 +187,54 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _possible(t: int):
-    """Can a pair still have the overlap of a link? It shares m tokens of its prefixes, the last at ia and ib, prefixes end at za and zb.
+    """Keep the pairs that can still have the overlap of a link, by the m tokens that their prefixes share.
 
-    All common tokens up to the earlier end are among the m; beyond it no more can be common than that side has left.
-    And after the last shared token neither side can add more than it has left.
+    All common tokens up to the earlier end of the two prefixes are among the m; beyond it no more can be common than
+    that side has left. And after the last shared token neither side can add more than it has left.
     """
-    need = lambda bound: bound * (100 + t) >= (F.col("na") + F.col("nb")) * t
-    after = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * t / 100) + 1)  # noqa: E731  what follows a prefix
-    m = F.col("m")
-    return need(m + F.when(F.col("za") <= F.col("zb"), after("na")).otherwise(after("nb"))) & need(m + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1))
+
+    def tokens(batch, x):
+        t = W.column(batch, "t" + x)
+        off, v = np.array(t.offsets), t.values
+        return off, np.array(v.field("i")), np.array(v.field("w"))
+
+    def run(batches):
+        for batch in batches:
+            na, nb, za, zb = (np.array(W.column(batch, c)) for c in ("na", "nb", "za", "zb"))
+            (oa, ia, wa), (ob, ib, wb) = tokens(batch, "a"), tokens(batch, "b")
+            keep = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                _, pa_, pb_ = np.intersect1d(wa[oa[r] : oa[r + 1]], wb[ob[r] : ob[r + 1]], True, True)
+                if len(pa_):
+                    n, m = int(na[r]), int(nb[r])
+                    after = n - prefix(n, t) if za[r] <= zb[r] else m - prefix(m, t)
+                    rest = min(n - 1 - int(ia[oa[r] + pa_].max()), m - 1 - int(ib[ob[r] + pb_].max()))
+                    keep[r] = len(pa_) + min(after, rest) >= overlap(n, m, t)
+            if keep.any():
+                k = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([W.column(batch, "a").filter(k), W.column(batch, "b").filter(k)], ["a", "b"])
+
+    return run
+
+
+def _members(shared):
+    """(token, entity, size, position, end of prefix) for the prefix tokens that the bitmap of shared tokens may hold."""
+
+    def run(batches):
+        bitmap, mask = shared.value
+        for batch in batches:
+            h = W.column(batch, "heavy")
+            off, w = np.array(h.offsets), np.array(h.values)
+            own = np.repeat(np.arange(len(h)), np.diff(off))
+            w = w[off[0] : off[-1]]
+            pos = (np.arange(len(w)) + off[0] - off[own]).astype(np.int32)
+            k = np.flatnonzero(_has(bitmap, mask, w.view(np.uint64)))
+            e, n = np.array(W.column(batch, "e")), np.array(W.column(batch, "n"))
+            z = w[off[1:] - 1 - off[0]]
+            o = own[k]
+            yield pa.RecordBatch.from_arrays([pa.array(w[k]), pa.array(e[o]), pa.array(n[o]), pa.array(pos[k]), pa.array(z[o])], ["w", "e", "n", "i", "z"])
+
+    return run
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t: int = 80, verify_cost: float = 8.0) -> DataFrame:
@@ -210,23 +249,21 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     schema = StructType([texts.schema["_c"], *StructType.fromDDL("n long, e long, light array<long>, heavy array<long>").fields])
     sigs = staged(texts.mapInArrow(_signatures(k, t, shared), schema), "signatures")
 
-    def lists(col: str) -> DataFrame:
-        rows = sigs.select("e", "n", F.element_at(col, -1).alias("z"), F.posexplode(col).alias("i", "w"))
-        more = rows.groupBy("w").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi").select("w", "lo")
-        return rows.join(more, "w").select("w", "e", "n", "i", "z", "lo").distinct()
-
     # under a key of sizes (a, b) a set of the smaller size links with all others, two of the greater size need not
     keyed = sigs.select("e", F.explode("light").alias("key")).select("e", F.shiftright("key", 1).alias("w"), F.expr("key & 1L = 1").alias("small"))
     hubs = keyed.groupBy("w").agg(F.min(F.when(F.col("small"), F.col("e"))).alias("lo"), F.min("e").alias("e0"), F.max("e").alias("e1"))
     hubs = hubs.filter("lo is not null and e0 < e1").select("w", "lo")
     light = keyed.join(hubs, "w").filter("e <> lo").select(F.col("e").alias("a"), F.col("lo").alias("b")).distinct()
     labels = _relabel(None, light)
-    heavy = staged(lists("heavy").drop("lo"), "lists")
+    # inverted lists with more than one member, turned back into one row per entity: its shared tokens with their positions
+    shared_w = sigs.select("e", F.explode("heavy").alias("w")).groupBy("w").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi").select("w")
+    shared_w = staged(shared_w, "shared-tokens")
+    bits = spark.sparkContext.broadcast(_bitmap(shared_w, "w", shared_w.count()))
+    rows = sigs.filter("heavy is not null").select("e", "n", "heavy").mapInArrow(_members(bits), "w long, e long, n long, i int, z long").join(shared_w, "w")
+    ents = rows.groupBy("e").agg(F.max("n").alias("n"), F.max("z").alias("z"), F.sort_array(F.collect_set(F.struct("i", "w"))).alias("t"))
+    ents = staged(ents, "entities")
     release(spark)
-    if heavy.limit(1).count():
-        # members whose prefix is shared most, relative to its length, make the best pivots: the text that copies vary
-        shares = heavy.groupBy("e").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
-        side = lambda x: heavy.select("w", F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("n", "i", "z")])
+    if ents.limit(1).count():
         same = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * t
 
         def verified(pairs: DataFrame) -> DataFrame:
@@ -242,13 +279,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
 
         done = None
         for turn in range(STAR_ROUNDS + 1):
-            here = heavy.join(labels, "e", "left").select("w", "e", "n", "i", F.coalesce("c", "e").alias("c")).join(shares, "e")
-            first = F.col("central") if turn == 0 else F.xxhash64("e", F.lit(turn))
-            pivot = F.max(F.struct(first.alias("first"), F.col("e").alias("e"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("p")
-            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), pivot).filter("c0 < c1").select("w", "p")
-            here = staged(here.join(mixed, "w"), "mixed")
+            # members whose prefix is shared most, relative to its length, make the best pivots: the text that copies vary
+            first = F.size("t") / F.col("n") if turn == 0 else F.xxhash64("e", F.lit(turn)).cast("double")
+            here = ents.join(labels, "e", "left").select("e", "n", F.coalesce("c", "e").alias("c"), first.alias("first"), F.inline("t"))
+            pivot = F.max(F.struct("first", "e", "n", "c")).alias("p")
+            mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), pivot).filter("c0 < c1").select("w", "p.e", "p.n", "p.c")
+            here = here.join(mixed.toDF("w", "pe", "pn", "pc"), "w")
+            here = here if turn < STAR_ROUNDS else staged(here.drop("pe", "pn", "pc", "first"), "mixed")
             if turn < STAR_ROUNDS:
-                pairs = here.filter((F.col("c") != F.col("p.c")) & same(F.col("n"), F.col("p.n"))).groupBy(F.col("e").alias("a"), F.col("p.e").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+                pairs = here.filter((F.col("c") != F.col("pc")) & same(F.col("n"), F.col("pn"))).groupBy(F.col("e").alias("a"), F.col("pe").alias("b")).agg(F.count(F.lit(1)).alias("m"))
             else:  # whatever still crosses components, pair by pair: the first shared token must leave room for the rest
                 end = lambda x: here.select("w", F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("c", "n", "i")])
                 room = lambda x: (F.col("n" + x) - F.col("i" + x)) * (100 + t) >= (F.col("na") + F.col("nb")) * t
@@ -258,10 +297,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
                 pairs = pairs.join(done, (F.least(pairs.a, pairs.b) == done.x) & (F.greatest(pairs.a, pairs.b) == done.y), "left_anti")
             if turn < STAR_ROUNDS:
                 pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("m")).select("a", "m.b")
-            met = pairs.join(side("a"), "a").join(side("b"), ["w", "b"])
-            met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in ("na", "nb", "ia", "ib", "za", "zb")])
-            pairs = staged(met.filter(_possible(t)).select("a", "b"), "pairs")
-            drop(here)
+            side = lambda x: ents.select(F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("n", "z", "t")])  # noqa: E731,B023
+            pairs = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(t), "a long, b long"), "pairs")
             if not pairs.limit(1).count():
                 if turn < STAR_ROUNDS:
                     continue
