@@ -543,3 +543,96 @@ def pricing_summary(spark, d):
             F.count(F.lit(1)).alias("n"),
         )
     )
+
+
+# -- statistics -------------------------------------------------------------------------------------------------
+def _one_row(spark, **values):
+    """A one-row frame of plain numbers."""
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+@query("ttest_sums", """WITH m AS (SELECT event_type AS g, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), a AS (SELECT * FROM m WHERE g = 'click'), b AS (SELECT * FROM m WHERE g = 'view')
+SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 8) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM a, b""")
+def ttest_sums(spark, d):
+    from ashlar.stats import basic
+
+    r = basic.ttest2(table(spark, d, "events").filter(_c("event_type").isin("click", "view")), "value", "event_type")
+    return _one_row(spark, t=round(r["t"], 8), df=round(r["df"], 4))
+
+
+@query("anova_sums", """WITH m AS (SELECT event_type AS g, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), t AS (SELECT sum(n * m) / sum(n) AS gm, sum(n) AS n, count(*) AS k FROM m)
+SELECT round((SELECT sum(m.n * power(m.m - t.gm, 2)) FROM m, t) / (k - 1) / ((SELECT sum((n - 1) * v) FROM m) / (n - k)), 6) AS f, (k - 1)::INT AS df1, (n - k)::INT AS df2 FROM t""")
+def anova_sums(spark, d):
+    from ashlar.stats import basic
+
+    r = basic.anova(table(spark, d, "events"), "value", "event_type")
+    return _one_row(spark, f=round(r["f"], 6), df1=r["df_between"], df2=r["df_within"])
+
+
+@query("ols_sums", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem")
+def ols_sums(spark, d):
+    from ashlar.stats import regression
+
+    r = regression.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
+    c = {x["term"]: x["estimate"] for x in r["coefficients"]}
+    return _one_row(spark, slope=round(c["l_quantity"], 6), intercept=round(c["(intercept)"], 4), r2=round(r["r_squared"], 8))
+
+
+@query("mann_whitney", """WITH r AS (SELECT event_type, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events WHERE event_type IN ('click', 'view'))
+SELECT round(sum(r) - count(*) * (count(*) + 1) / 2.0, 3) AS u FROM r WHERE event_type = 'click'""")
+def mann_whitney(spark, d):
+    from ashlar.stats import nonparam
+
+    r = nonparam.mann_whitney(table(spark, d, "events").filter(_c("event_type").isin("click", "view")), "value", "event_type")
+    return _one_row(spark, u=round(r["u"], 3))
+
+
+@query("kruskal", """WITH r AS (SELECT event_type, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events), g AS (SELECT event_type, count(*) AS n, sum(r) AS w FROM r GROUP BY 1), t AS (SELECT sum(power(c, 3) - c) AS s FROM (SELECT count(*) AS c FROM events GROUP BY value)), n AS (SELECT sum(n) AS n FROM g)
+SELECT round((12 / (n.n * (n.n + 1)) * (SELECT sum(w * w / n) FROM g) - 3 * (n.n + 1)) / (1 - t.s / (power(n.n, 3) - n.n)), 5) AS h FROM n, t""")
+def kruskal(spark, d):
+    from ashlar.stats import nonparam
+
+    return _one_row(spark, h=round(nonparam.kruskal(table(spark, d, "events"), "value", "event_type")["h"], 5))
+
+
+@query("xbar_r_limits", "WITH g AS (SELECT o_orderkey // 5 AS g, count(*) AS n, avg(o_totalprice) AS m, max(o_totalprice) - min(o_totalprice) AS r FROM orders GROUP BY 1) SELECT round(sum(m * n) / sum(n), 4) AS centre, round(avg(r) / 2.326, 4) AS sigma FROM g")
+def xbar_r_limits(spark, d):
+    from ashlar.stats import spc
+
+    o = table(spark, d, "orders").select(F.floor(_c("o_orderkey") / 5).alias("g"), "o_totalprice")
+    r = spc.xbar_chart(o, "o_totalprice", "g")
+    return _one_row(spark, centre=round(r["centre"], 4), sigma=round(r["sigma"], 4))
+
+
+@query("capability", "SELECT round(4000 / (6 * stddev_samp(l_quantity)) / 100, 8) AS pp, round(least(50 - avg(l_quantity), avg(l_quantity) - 10) / (3 * stddev_samp(l_quantity)), 8) AS ppk FROM lineitem")
+def capability(spark, d):
+    from ashlar.stats import spc
+
+    r = spc.capability(table(spark, d, "lineitem"), "l_quantity", 10, 50)
+    return _one_row(spark, pp=round(r["pp"], 8), ppk=round(r["ppk"], 8))
+
+
+@query("pareto", "WITH g AS (SELECT p_brand AS category, count(*)::DOUBLE AS count FROM part GROUP BY 1) SELECT category, count, round(100 * sum(count) OVER (ORDER BY count DESC, category ROWS UNBOUNDED PRECEDING) / sum(count) OVER (), 8) AS cumulative FROM g")
+def pareto(spark, d):
+    from ashlar.stats import spc
+
+    p = spc.pareto(table(spark, d, "part"), "p_brand")
+    return p.withColumn("cumulative", F.round("cumulative", 8))
+
+
+@query("kaplan_meier", """WITH t AS (SELECT p_size::DOUBLE AS t, count(*) FILTER (p_partkey % 4 <> 0) AS d, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM t)
+SELECT t AS time, risk::BIGINT AS risk, d AS events, round(CASE WHEN max(CASE WHEN d = risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < risk THEN ln(1 - d / risk) ELSE 0 END) OVER w) END, 8) AS survival FROM r WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING) QUALIFY d > 0""")
+def kaplan_meier(spark, d):
+    from ashlar.stats import reliability
+
+    p = table(spark, d, "part").select("p_size", F.when(_c("p_partkey") % 4 == 0, 1).otherwise(0).alias("c"))
+    k = reliability.kaplan_meier(p, "p_size", "c")
+    return k.select("time", "risk", "events", F.round("survival", 8).alias("survival"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    from ashlar.streaming import events
+
+    w = events.windowed(table(spark, d, "events"), "1 day")
+    return w.select(F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
