@@ -405,3 +405,80 @@ def bootstrap(df, value, statistic=np.mean, n=1000, confidence=0.95, seed=1, mos
     got = np.array([statistic(r.choice(x, len(x))) for _ in range(n)])
     a = (1 - confidence) / 2
     return {"estimate": float(statistic(x)), "se": float(got.std(ddof=1)), "ci": tuple(np.quantile(got, [a, 1 - a]))}
+
+
+# -- more tests -------------------------------------------------------------------------------------------------
+def kendall(df, a, b, most: int = 20_000) -> dict:
+    """Tau-b with ties; pairs are counted in numpy, so the number of rows is bounded."""
+    rows = df.select(clean(F.col(a)).alias("x"), clean(F.col(b)).alias("y")).dropna().limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"kendall is for at most {most} rows")
+    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    s = tx = ty = 0
+    for i in range(1, len(x)):
+        dx, dy = np.sign(x[i] - x[:i]), np.sign(y[i] - y[:i])
+        s += int((dx * dy).sum())
+        tx += int((dx == 0).sum())
+        ty += int((dy == 0).sum())
+    n0, n = len(x) * (len(x) - 1) / 2, len(x)
+    z = s / math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+    return {"tau": s / math.sqrt((n0 - tx) * (n0 - ty)), "z": z, "p_value": D.two_sided(D.normal(), z)}
+
+
+def anova_two_way(df, value, a, b) -> dict:
+    """Balanced two-way analysis of variance with interaction, from cell aggregates."""
+    c = df.select(clean(F.col(value)).alias("x"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna().groupBy("a", "b").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v")).collect()
+    p, q = sorted({r["a"] for r in c}), sorted({r["b"] for r in c})
+    n = {r["n"] for r in c}
+    if len(n) > 1 or len(c) != len(p) * len(q):
+        raise ValueError("cells of equal size are needed")
+    n = n.pop()
+    m = np.array([[next(r["m"] for r in c if r["a"] == x and r["b"] == y) for y in q] for x in p])
+    g = m.mean()
+    ss = {"a": len(q) * n * ((m.mean(1) - g) ** 2).sum(), "b": len(p) * n * ((m.mean(0) - g) ** 2).sum()}
+    ss["interaction"] = n * ((m - g) ** 2).sum() - ss["a"] - ss["b"]
+    ss["error"] = sum((n - 1) * r["v"] for r in c)
+    df_ = {"a": len(p) - 1, "b": len(q) - 1, "interaction": (len(p) - 1) * (len(q) - 1), "error": len(c) * (n - 1)}
+    if not df_["error"]:  # one value a cell: the interaction is the error
+        ss["error"], df_["error"] = ss.pop("interaction"), df_.pop("interaction")
+    mse = ss["error"] / df_["error"]
+    return {k: {"ss": float(ss[k]), "df": df_[k]} | ({"f": float(ss[k] / df_[k] / mse), "p_value": D.f(df_[k], df_["error"]).sf(float(ss[k] / df_[k] / mse))} if k != "error" else {"ms": float(mse)}) for k in ss}
+
+
+def permutation_test(df, value, by, n=10_000, seed=1, most=1_000_000) -> dict:
+    """Difference of two means under random relabelling."""
+    rows = df.select(clean(F.col(value)).alias("x"), F.col(by).cast("string").alias("g")).dropna().orderBy("g", "x").limit(most + 1).toPandas()
+    names = sorted(rows["g"].unique())
+    if len(names) != 2 or len(rows) > most:
+        raise ValueError(f"two groups of at most {most} rows together are needed")
+    x, k = rows["x"].to_numpy(), int((rows["g"] == names[0]).sum())
+    r, obs, hit = np.random.default_rng(seed), abs(x[:k].mean() - x[k:].mean()), 0
+    for _ in range(n):
+        p = r.permutation(x)
+        hit += abs(p[:k].mean() - p[k:].mean()) >= obs - 1e-12
+    return {"difference": float(x[:k].mean() - x[k:].mean()), "p_value": (hit + 1) / (n + 1)}
+
+
+def poisson_gof(df, value) -> dict:
+    """Counts against Poisson probabilities with the sample's mean; classes with small expectation are pooled."""
+    rows = {int(r[0]): r[1] for r in df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("long")).count().collect()}
+    n = sum(rows.values())
+    mu = sum(k * v for k, v in rows.items()) / n
+    d, obs, exp, o, e, k, left = D.poisson(mu), [], [], 0, 0.0, 0, 1.0
+    while left * n >= 5 or k <= max(rows):
+        o, e, left = o + rows.get(k, 0), e + n * d.pdf(k), left - d.pdf(k)
+        if e >= 5 and (left * n >= 5):
+            obs, exp, o, e = [*obs, o], [*exp, e], 0, 0.0
+        k += 1
+    obs, exp = [*obs, o], [*exp, e + n * max(left, 0)]
+    return chi2_gof(obs, exp, 1) | {"mean": mu}
+
+
+def energy_distance(df, value, by, most: int = 5_000) -> dict:
+    rows = df.select(clean(F.col(value)).alias("x"), F.col(by).cast("string").alias("g")).dropna().limit(most + 1).toPandas()
+    names = sorted(rows["g"].unique())
+    if len(names) != 2 or len(rows) > most:
+        raise ValueError(f"two groups of at most {most} rows together are needed")
+    x, y = (rows.loc[rows["g"] == g, "x"].to_numpy() for g in names)
+    d = lambda a, b: np.abs(a[:, None] - b[None]).mean()
+    return {"energy": float(2 * d(x, y) - d(x, x) - d(y, y))}

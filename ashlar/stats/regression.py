@@ -210,3 +210,64 @@ def isotonic(df, y, x) -> list[tuple[float, float]]:
             a = blocks[-1]
             a[0], a[1], a[2] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]
     return [(v, b[0]) for b in blocks for v in b[2]]
+
+
+def nls(df: DataFrame, y: str, model, start: dict[str, float], most: int = 100, tol: float = 1e-9) -> dict:
+    """Gauss-Newton; ``model(params)`` gives a Column, derivatives are central differences inside one aggregate."""
+    names, b = list(start), np.array(list(start.values()), float)
+    v = clean(F.col(y))
+    at = lambda p: model(dict(zip(names, map(float, p), strict=True)))
+    last = None
+    for it in range(most):
+        steps = np.maximum(np.abs(b), 1e-3) * 1e-6
+        j = [(at(b + np.eye(len(b))[i] * s) - at(b - np.eye(len(b))[i] * s)) / (2 * s) for i, s in enumerate(steps)]
+        n, g, r = _gram(df.filter(v.isNotNull()), j, None, {"rss": F.pow(v - at(b), F.lit(2))} | {f"u{i}": c * (v - at(b)) for i, c in enumerate(j)})
+        if last is not None and abs(last - r["rss"]) <= tol * (last + tol):
+            break
+        last = r["rss"]
+        b = b + np.linalg.solve(g, [r[f"u{i}"] for i in range(len(b))])
+    s2 = r["rss"] / (n - len(b))
+    se = np.sqrt(np.diag(np.linalg.inv(g)) * s2)
+    return {"parameters": {k: {"estimate": float(e), "se": float(s)} for k, e, s in zip(names, b, se, strict=True)}, "rss": r["rss"], "n": n, "iterations": it + 1}
+
+
+def quantile_regression(df: DataFrame, y: str, xs: list[str], q: float = 0.5, most: int = 60) -> dict:
+    """Iteratively reweighted least squares on the smoothed check loss; an aggregate an iteration."""
+    d = _complete(df, y, xs).persist()
+    try:
+        cols = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(xs))]]
+        b, w, eps = np.zeros(len(cols)), None, 1.0
+        for _ in range(most):
+            _, g, r = _gram(d, cols, w, {f"u{i}": (F.lit(1.0) if w is None else w) * c * F.col("y") for i, c in enumerate(cols)})
+            new = np.linalg.solve(g, [r[f"u{i}"] for i in range(len(cols))])
+            if w is not None and eps <= 1e-6 and np.abs(new - b).max() < 1e-7:
+                break
+            b, eps = new, max(eps / 3, 1e-6)
+            e = F.col("y") - sum((F.lit(float(v)) * c for v, c in zip(b, cols, strict=True)), F.lit(0.0))
+            w = F.when(e > 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(eps))
+    finally:
+        d.unpersist()
+    return {"q": q, "coefficients": [{"term": t, "estimate": float(v)} for t, v in zip(["(intercept)", *xs], b, strict=True)]}
+
+
+def lowess(df: DataFrame, y: str, x: str, span: float = 0.5, robust: int = 2, most: int = 20_000) -> list[tuple[float, float]]:
+    """Locally weighted lines with robustness passes, on one ordered series."""
+    rows = _complete(df, y, [x]).orderBy("x0").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"lowess is for at most {most} rows")
+    xv, yv = rows["x0"].to_numpy(), rows["y"].to_numpy()
+    n, k = len(xv), max(2, int(math.ceil(span * len(xv))))
+    rob, fit = np.ones(n), np.zeros(n)
+    for _ in range(robust + 1):
+        for i in range(n):
+            d = np.abs(xv - xv[i])
+            h = np.partition(d, k - 1)[k - 1] or 1e-12
+            w = np.clip(1 - (d / h) ** 3, 0, 1) ** 3 * rob
+            s = w.sum()
+            mx, my = (w @ xv) / s, (w @ yv) / s
+            var = w @ (xv - mx) ** 2
+            fit[i] = my + ((w @ ((xv - mx) * (yv - my))) / var * (xv[i] - mx) if var > 1e-12 else 0.0)
+        r = np.abs(yv - fit)
+        m = 6 * np.median(r)
+        rob = np.clip(1 - (r / m) ** 2, 0, 1) ** 2 if m > 0 else np.ones(n)
+    return list(zip(xv.tolist(), fit.tolist(), strict=True))

@@ -208,3 +208,51 @@ def acceptance_sampling(aql, rql, alpha=0.05, beta=0.1, most=5000) -> dict:
         else:
             c += 1
     raise ValueError("no plan within the limit")
+
+
+def moving_average_chart(df, value, order, span: int = 5, width: float = 3.0) -> DataFrame:
+    m = imr_chart(df, value, order)
+    w = Window.orderBy("o").rowsBetween(-(span - 1), 0)
+    d = m["points"].select("o", "x").withColumn("ma", F.avg("x").over(w)).withColumn("_n", F.count("x").over(w))
+    half = F.lit(width * m["sigma"]) / F.sqrt("_n")
+    return d.withColumn("ucl", m["centre"] + half).withColumn("lcl", m["centre"] - half).drop("_n")
+
+
+def laney(df: DataFrame, kind: str, count: str, size: str, order: str) -> dict:
+    """p' and u' charts: limits widened by the spread of z-scores between neighbours."""
+    c = attribute_chart(df, kind, count, size)
+    se = (F.col("ucl") - F.col("centre")) / 3
+    base = F.sqrt(F.lit(c["centre"]) * (1 - F.lit(c["centre"]) if kind == "p" else F.lit(1.0)) / F.col(size))
+    d = c["points"].withColumn("_z", (F.col("x") - F.col("centre")) / base)
+    s = d.withColumn("_m", F.abs(F.col("_z") - F.lag("_z").over(Window.orderBy(order)))).agg(F.avg("_m")).first()[0] / D2[0]
+    half = 3 * s * base
+    d = d.withColumn("ucl", F.col("centre") + half).withColumn("lcl", F.greatest(F.col("centre") - half, F.lit(0.0))).drop("_z")
+    return {"sigma_z": s, "centre": c["centre"], "points": d.withColumn("out", (F.col("x") > F.col("ucl")) | (F.col("x") < F.col("lcl"))), "se": se}
+
+
+def t2_chart(df: DataFrame, xs: list[str], alpha: float = 0.00135) -> dict:
+    """Hotelling's chart of single observations, with the beta limit of a retrospective study."""
+    from ashlar.stats.multivariate import covariance, mahalanobis
+
+    n, _, _ = covariance(df, xs)
+    p = len(xs)
+    ucl = (n - 1) ** 2 / n * D.beta(p / 2, (n - p - 1) / 2).ppf(1 - alpha)
+    return {"ucl": ucl, "points": mahalanobis(df, xs, "t2").withColumn("out", F.col("t2") > ucl)}
+
+
+def run_chart(df, value, order) -> dict:
+    """Runs about the median and runs up or down, on one ordered series."""
+    x = _ordered(df, value, order)
+    med = np.median(x)
+    s = x[x != med] > med
+    n1, n2 = int(s.sum()), int((~s).sum())
+    runs = 1 + int((s[1:] != s[:-1]).sum())
+    mean = 1 + 2 * n1 * n2 / (n1 + n2)
+    sd = math.sqrt(2 * n1 * n2 * (2 * n1 * n2 - n1 - n2) / ((n1 + n2) ** 2 * (n1 + n2 - 1)))
+    d = np.sign(np.diff(x))
+    d = d[d != 0]
+    up = 1 + int((d[1:] != d[:-1]).sum())
+    m2, s2 = (2 * len(x) - 1) / 3, math.sqrt((16 * len(x) - 29) / 90)
+    z, z2 = (runs - mean) / sd, (up - m2) / s2
+    n = D.normal()
+    return {"runs": runs, "expected": mean, "clustering": n.cdf(z), "mixtures": n.sf(z), "runs_up_down": up, "trends": n.cdf(z2), "oscillation": n.sf(z2)}

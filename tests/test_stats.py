@@ -193,3 +193,26 @@ def test_designs():
     d = doe.full_factorial([2, 2, 2])
     a = doe.analyze(d, 5 + 3 * d[:, 0] - d[:, 0] * d[:, 1], 2)
     assert {t["term"]: round(t["effect"], 9) for t in a["terms"]}["A"] == 6 and doe.desirability([5], [("maximise", 0, 10, 10)]) == 0.5
+
+
+def test_more(spark):
+    from ashlar.stats import numerics as X
+
+    assert X.simpson([0, 1, 4, 9, 16]) == pytest.approx(64 / 3) and X.trapz([1, 3], [0, 2]) == 4
+    assert X.nelder_mead(lambda p: (p[0] - 1) ** 2 + 10 * (p[1] + 2) ** 2, [0.0, 0.0])["x"] == pytest.approx([1, -2], abs=1e-4)
+    assert X.num_gradient(lambda p: p[0] ** 2 * p[1], [2.0, 3.0]) == pytest.approx([12, 4], rel=1e-6) and X.nnls([[1, 0], [0, 1]], [1, -1]).tolist() == [1, 0]
+    r = np.random.default_rng(2)
+    x = r.normal(size=200)
+    y = 3 * np.exp(0.5 * x) + r.normal(size=200) * 0.01
+    df = frame(spark, x=x.tolist(), y=y.tolist(), g=["ab"[i % 2] for i in range(200)], h=["cd"[i // 2 % 2] for i in range(200)], i=list(range(200)), n=[50] * 200, k=r.poisson(3, 200).tolist())
+    fit = R.nls(df, "y", lambda p: p["a"] * F.exp(p["b"] * F.col("x")), {"a": 1.0, "b": 0.1})
+    assert fit["parameters"]["a"]["estimate"] == pytest.approx(3, abs=0.01) and fit["parameters"]["b"]["estimate"] == pytest.approx(0.5, abs=0.01)
+    q = R.quantile_regression(frame(spark, x=x.tolist(), y=(2 * x + r.laplace(size=200)).tolist()), "y", ["x"])
+    assert q["coefficients"][1]["estimate"] == pytest.approx(2, abs=0.3)
+    assert len(R.lowess(df, "y", "x")) == 200 and sum(k["density"] for k in X.gaussian_kde(df, "x", 64)) > 0
+    a = B.anova_two_way(df, "y", "g", "h")
+    assert sum(v["ss"] for v in a.values()) == pytest.approx(float(((y - y.mean()) ** 2).sum()))
+    assert B.kendall(frame(spark, a=[1.0, 2, 3, 4], b=[1.0, 3, 2, 4]), "a", "b")["tau"] == pytest.approx(2 / 3)
+    assert 0 < B.permutation_test(df, "y", "g", 200)["p_value"] <= 1 and B.poisson_gof(df, "k")["p_value"] > 1e-4 and B.energy_distance(df, "y", "g")["energy"] > -1e-9
+    assert Q.t2_chart(df, ["x", "k"])["ucl"] > 5 and Q.run_chart(df, "x", "i")["runs"] > 50 and Q.moving_average_chart(df, "x", "i").count() == 200
+    assert Q.laney(df, "p", "k", "n", "i")["sigma_z"] > 0 and X.random(spark, 100, D.exponential(2)).filter("x < 0").count() == 0 and X.patterned(spark, 1, 3, 1, 2).count() == 6
