@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ashlar.llm import words as W
+from ashlar.llm.store import staged
 
 ORDERS = (5, 4, 3, 2, 1)
 
@@ -123,6 +124,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
     """Fit on the rows of ``docs`` that have a language; see the module's text for the bounds."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null and l != '' and t is not null")
     share = rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("p"))
+    share = staged(share, "language-shares")
+    if share.count() <= 10_000:  # a row per language: known to be small before it is sent to all, so that texts stay where they are
+        share = F.broadcast(share)
     picked = rows.join(share, "l").filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("p") * (1 << 30)).select("l", "t")
     counts = picked.mapInArrow(_count("l", "t"), "lang string, ord int, h long, n long").groupBy("lang", "ord", "h").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "h"))
