@@ -182,3 +182,102 @@ def dagostino_k2(df, value) -> dict:
 
 def normality_test(df, value, method="anderson-darling") -> dict:
     return {"anderson-darling": anderson_darling, "jarque-bera": jarque_bera, "dagostino": dagostino_k2}[method](df, value)
+
+
+def _values(df, value, most: int) -> np.ndarray:
+    x = df.select(clean(F.col(value)).alias("x")).filter("x is not null").orderBy("x").limit(most + 1).toArrow()["x"].to_numpy()
+    if len(x) > most:
+        raise ValueError(f"this test is for at most {most} values")
+    return x
+
+
+def shapiro_wilk(df, value) -> dict:
+    """Royston's approximation, 4 to 5000 values."""
+    x = _values(df, value, 5000)
+    n = len(x)
+    if n < 4:
+        raise ValueError("at least 4 values are needed")
+    nd = D.normal()
+    m = np.array([nd.ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, s = 1 / math.sqrt(n), float(m @ m)
+    a = m / math.sqrt(s)
+    last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, a[-1]], u)
+    if n > 5:
+        second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
+        phi = (s - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+        a = m / math.sqrt(phi)
+        a[[0, 1, -2, -1]] = -last, -second, second, last
+    else:
+        a = m / math.sqrt((s - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[[0, -1]] = -last, last
+    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    if n > 11:
+        l = math.log(n)
+        mu, sd, y = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], l), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], l)), math.log(1 - w)
+    else:
+        g = -2.273 + 0.459 * n
+        mu, sd, y = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n)), -math.log(g - math.log(1 - w))
+    return {"w": w, "p_value": nd.sf((y - mu) / sd), "n": n}
+
+
+def ryan_joiner(df, value, most: int = 100_000) -> dict:
+    """Correlation with normal scores."""
+    x = _values(df, value, most)
+    n = len(x)
+    b = np.array([D.normal().ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    return {"r": float((x @ b) / math.sqrt(((x - x.mean()) ** 2).sum() * (b @ b))), "n": n}
+
+
+def lilliefors(df, value, most: int = 1_000_000) -> dict:
+    """Kolmogorov-Smirnov distance to the fitted normal, with the Dallal-Wilkinson p-value (exact below 0.1)."""
+    x = _values(df, value, most)
+    n = len(x)
+    p = np.array([D.normal().cdf(v) for v in (x - x.mean()) / x.std(ddof=1)])
+    i = np.arange(1, n + 1)
+    d = float(max((i / n - p).max(), (p - (i - 1) / n).max()))
+    dd, m = (d, n) if n <= 100 else (d * (n / 100) ** 0.49, 100)
+    pv = math.exp(-7.01256 * dd * dd * (m + 2.78019) + 2.99587 * dd * math.sqrt(m + 2.78019) - 0.122119 + 0.974598 / math.sqrt(m) + 1.67997 / m)
+    return {"d": d, "p_value": min(1.0, pv)}
+
+
+def cramer_von_mises(df, value, most: int = 1_000_000) -> dict:
+    x = _values(df, value, most)
+    n = len(x)
+    p = np.array([D.normal().cdf(v) for v in (x - x.mean()) / x.std(ddof=1)])
+    w = float(1 / (12 * n) + ((p - (2 * np.arange(1, n + 1) - 1) / (2 * n)) ** 2).sum())
+    s = w * (1 + 0.5 / n)
+    pv = 1 - math.exp(-13.953 + 775.5 * s - 12542.61 * s * s) if s < 0.0275 else 1 - math.exp(-5.903 + 179.546 * s - 1515.29 * s * s) if s < 0.051 else math.exp(0.886 - 31.62 * s + 10.897 * s * s) if s < 0.092 else math.exp(1.111 - 34.242 * s + 12.832 * s * s) if s < 1.1 else 7.37e-10
+    return {"w2": w, "p_value": min(1.0, max(0.0, pv))}
+
+
+def fligner(df, value, by) -> dict:
+    """Fligner-Killeen: normal scores of the ranks of absolute deviations from the medians; distributed."""
+    d = df.select(clean(F.col(value)).alias("x"), F.col(by).cast("string").alias("g")).dropna()
+    m = d.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    d = positions.average_rank(d.join(m, "g").select("g", F.abs(F.col("x") - F.col("m")).alias("a")), "a", "r")
+    n = d.count()
+
+    def score(batches):
+        for b in batches:
+            yield b.assign(s=[D.normal().ppf(0.5 + r / (2 * (n + 1))) for r in b["r"]])[["g", "s"]]
+
+    s = d.select("g", "r").mapInPandas(score, "g string, s double")
+    t = s.agg(F.avg("s"), F.var_samp("s")).first()
+    g = s.groupBy("g").agg(F.count("s").alias("n"), F.avg("s").alias("m")).collect()
+    stat = sum(r["n"] * (r["m"] - t[0]) ** 2 for r in g) / t[1]
+    return {"chi2": stat, "df": len(g) - 1, "p_value": D.chi2(len(g) - 1).sf(stat)}
+
+
+def brunner_munzel(df, value, by) -> dict:
+    """Overall and within-group ranks, all from distributed ranks and one aggregate."""
+    d = df.select(clean(F.col(value)).alias("x"), F.col(by).cast("string").alias("g")).dropna()
+    names = [r[0] for r in d.select("g").distinct().orderBy("g").collect()]
+    if len(names) != 2:
+        raise ValueError("two groups are needed")
+    d = positions.average_rank(d, "x", "r")
+    parts = [positions.average_rank(d.filter(F.col("g") == g), "x", "q").agg(F.count("x").alias("n"), F.avg("r").alias("m"), F.var_samp(F.col("r") - F.col("q")).alias("v")).first() for g in names]
+    (n1, m1, v1), (n2, m2, v2) = parts
+    n = n1 + n2
+    stat = n1 * n2 * (m2 - m1) / (n * math.sqrt(n1 * v1 + n2 * v2))
+    k = (n1 * v1 + n2 * v2) ** 2 / ((n1 * v1) ** 2 / (n1 - 1) + (n2 * v2) ** 2 / (n2 - 1))
+    return {"statistic": stat, "df": k, "p_value": D.two_sided(D.t(k), stat), "estimate": (m2 - m1) / n + 0.5}

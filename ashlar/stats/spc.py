@@ -256,3 +256,65 @@ def run_chart(df, value, order) -> dict:
     z, z2 = (runs - mean) / sd, (up - m2) / s2
     n = D.normal()
     return {"runs": runs, "expected": mean, "clustering": n.cdf(z), "mixtures": n.sf(z), "runs_up_down": up, "trends": n.cdf(z2), "oscillation": n.sf(z2)}
+
+
+def g_chart(df, value, order) -> dict:
+    """Counts between rare events; limits from the geometric distribution."""
+    x = _ordered(df, value, order)
+    p = (len(x) - 1) / len(x) / (x.mean() + 1)
+    q = lambda a: math.log(1 - a) / math.log(1 - p) - 1
+    lo, mid, hi = max(0.0, q(0.00135)), q(0.5), q(0.99865)
+    return {"centre": mid, "lcl": lo, "ucl": hi, "out": [i for i, v in enumerate(x) if v > hi or v < lo]}
+
+
+def t_chart(df, value, order) -> dict:
+    """Times between rare events; limits from a fitted Weibull."""
+    from ashlar.stats.reliability import weibull_fit
+
+    w = weibull_fit(df.filter(F.col(value) > 0), value)
+    d = D.weibull(w["shape"], w["scale"])
+    x = _ordered(df, value, order)
+    lo, mid, hi = d.ppf(0.00135), d.ppf(0.5), d.ppf(0.99865)
+    return {"centre": mid, "lcl": lo, "ucl": hi, "out": [i for i, v in enumerate(x) if v > hi or v < lo]}
+
+
+def mewma(df, xs, order, lam=0.1, limit=None) -> list[dict]:
+    """Multivariate exponentially weighted averages; the limit defaults to the chi-square of 0.005."""
+    from ashlar.stats.multivariate import covariance
+
+    _, m, s = covariance(df, xs)
+    x = np.column_stack([_ordered(df.dropna(subset=xs), c, order) for c in xs]) - m
+    inv, z, out = np.linalg.inv(s), np.zeros(len(xs)), []
+    h = D.chi2(len(xs)).ppf(0.995) if limit is None else limit
+    for i, v in enumerate(x):
+        z = lam * v + (1 - lam) * z
+        t2 = float(z @ inv @ z) / (lam / (2 - lam) * (1 - (1 - lam) ** (2 * (i + 1))))
+        out.append({"t2": t2, "ucl": h, "out": t2 > h})
+    return out
+
+
+def gage_type1(df, value, reference, tolerance, share=0.2) -> dict:
+    m = moments(df, value)[None]
+    s = math.sqrt(m["var"])
+    b = m["mean"] - reference
+    t = b / (s / math.sqrt(m["n"]))
+    return {"bias": b, "t": t, "p_value": D.two_sided(D.t(m["n"] - 1), t), "cg": share * tolerance / (6 * s), "cgk": (share * tolerance / 2 - abs(b)) / (3 * s)}
+
+
+def gage_linearity(df, value, reference) -> dict:
+    """Bias against reference by least squares, and the mean bias per reference."""
+    from ashlar.stats.regression import ols
+
+    d = df.select((clean(F.col(value)) - clean(F.col(reference))).alias("bias"), clean(F.col(reference)).alias("reference")).dropna()
+    return {"model": ols(d, "bias", ["reference"]), "bias": {r[0]: r[1] for r in d.groupBy("reference").agg(F.avg("bias")).collect()}}
+
+
+def attribute_agreement(df, rating, part, appraiser) -> dict:
+    """Fleiss' kappa over appraisers, from counts per part and rating."""
+    c = df.filter(F.col(rating).isNotNull()).groupBy(F.col(part).alias("p"), F.col(rating).cast("string").alias("r")).count()
+    per = c.groupBy("p").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1)).alias("a"))
+    t = per.filter("n > 1").agg(F.avg(F.col("a") / (F.col("n") * (F.col("n") - 1))).alias("p"), F.sum("n").alias("n")).first()
+    share = [r["count"] / t["n"] for r in c.groupBy("r").agg(F.sum("count").alias("count")).collect()]
+    e = sum(s * s for s in share)
+    whole = df.groupBy(part).agg(F.count_distinct(rating).alias("k")).agg(F.avg((F.col("k") == 1).cast("double"))).first()[0]
+    return {"kappa": (t["p"] - e) / (1 - e) if e < 1 else 1.0, "agreement": t["p"], "all_agree": whole, "appraisers": df.select(appraiser).distinct().count()}

@@ -216,3 +216,22 @@ def test_more(spark):
     assert 0 < B.permutation_test(df, "y", "g", 200)["p_value"] <= 1 and B.poisson_gof(df, "k")["p_value"] > 1e-4 and B.energy_distance(df, "y", "g")["energy"] > -1e-9
     assert Q.t2_chart(df, ["x", "k"])["ucl"] > 5 and Q.run_chart(df, "x", "i")["runs"] > 50 and Q.moving_average_chart(df, "x", "i").count() == 200
     assert Q.laney(df, "p", "k", "n", "i")["sigma_z"] > 0 and X.random(spark, 100, D.exponential(2)).filter("x < 0").count() == 0 and X.patterned(spark, 1, 3, 1, 2).count() == 6
+
+
+def test_rest(spark):
+    from ashlar.stats import predictive as P
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=60)
+    df = frame(spark, x=x.tolist(), y=(x * 2 + r.normal(size=60) * 0.1).tolist(), c=(x > 0).astype(float).tolist(), g=["ab"[i % 2] for i in range(60)], i=list(range(60)), p=[i // 3 for i in range(60)], o=[i % 3 for i in range(60)], t=np.exp(x).tolist(), z=[0] * 60)
+    s = N.shapiro_wilk(df, "x")
+    assert 0.9 < s["w"] <= 1 and 0 < s["p_value"] <= 1 and N.shapiro_wilk(df, "t")["p_value"] < 1e-4 and N.ryan_joiner(df, "x")["r"] > 0.97
+    assert N.lilliefors(df, "t")["p_value"] < 0.01 and N.cramer_von_mises(df, "t")["p_value"] < 0.01 and N.fligner(df, "x", "g")["p_value"] > 0.001
+    assert 0 < N.brunner_munzel(df, "x", "g")["estimate"] < 1
+    assert Q.g_chart(df, "i", "i")["ucl"] > 0 and Q.t_chart(df, "t", "i")["lcl"] > 0 and len(Q.mewma(df, ["x", "y"], "i")) == 60
+    assert Q.gage_type1(df, "x", 0.0, 10.0)["cg"] > 0 and Q.attribute_agreement(df, "g", "p", "o")["appraisers"] == 3
+    assert Q.gage_linearity(df.withColumn("q", F.col("i") % 5), "x", "q")["model"]["n"] == 60
+    m = P.fit(df, "c", ["x", "y"], "cart", True)
+    assert sum(P.importance(m, ["x", "y"]).values()) == pytest.approx(1) and P.cross_validate(df, "y", ["x"], "linear", folds=3)["mean"] > 0.9
+    assert P.dbscan(np.array([[0.0], [0.1], [0.2], [5], [5.1], [5.2], [99]]), 0.3, 2) == [0, 0, 0, 1, 1, 1, -1]
+    assert P.life_regression(df, "t", "z", ["x"])["coefficients"]["x"] == pytest.approx(1, abs=0.1)
