@@ -4,7 +4,7 @@ Tokens are words (runs of bytes other than white space, A-Z lowered) and one end
 texts rank the vocabulary: the first ``CLASSES - 1`` times ``WIDTH`` tokens form classes of WIDTH by rank, all others are
 the last class. The probability of a token is P(class | history) P(token | class, history); in the last class it is the
 smoothed share of the token's count. Both softmaxes start from the counts and add rows of two hashed weight tables, one
-row per feature: the previous token, the two previous, and the skip to the second token back.
+row per feature: the previous token, the two previous, and skips to the second and third token back.
 
 Training is distributed: in each of ``rounds`` rounds every task starts from the broadcast tables, runs minibatch
 gradient steps over its part of that round's texts (each training text is used in one round, whole), and returns what
@@ -30,7 +30,7 @@ from ashlar.llm import words as W
 from ashlar.llm.store import release, staged
 
 CLASSES, WIDTH = 32, 64
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
+CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 BATCH = 4096
 #: hash of the end token; no word has it but by collision
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -141,8 +141,8 @@ class Model:
             out[ok] = h[ok - k]
             return out
 
-        a, b = back(1), back(2)
-        return [W.mix(a + _U(1)), W.combine(a, b), W.mix(b + _U(2))]
+        a, b, c = back(1), back(2), back(3)
+        return [W.mix(a + _U(1)), W.combine(a, b), W.mix(b + _U(2)), W.mix(c + _U(3))]
 
     def _odds(self, table, rows, bias, buffers) -> np.ndarray:
         """exp of the summed rows and bias; biases are at most 0 and weights small, so nothing overflows."""
@@ -169,7 +169,7 @@ class Model:
             k = c[inside].astype(np.uint64) * _U(0x9E3779B97F4A7C15)
             yield (
                 s, e, c, [(x & _U(CLASS_ROWS - 1)).astype(np.int64) for x in part], inside, ids[s:e][inside] % WIDTH,
-                [((x[inside] + k) * _U(0xBF58476D1CE4E5B9) >> _U(64 - 14)).astype(np.int64) for x in part],
+                [((x[inside] + k) * _U(0xBF58476D1CE4E5B9) >> _U(64 - WORD_ROWS.bit_length() + 1)).astype(np.int64) for x in part],
             )
 
     def score(self, h, first, ids) -> np.ndarray:

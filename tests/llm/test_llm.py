@@ -154,6 +154,22 @@ def test_lm_is_a_distribution_and_learns():
     assert p + rest == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_uses_the_third_token_back():
+    assert lm.CLASS_ROWS >= 1 << 14 and lm.WORD_ROWS >= 1 << 15
+    r = np.random.default_rng(2)
+    keys, counts = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(80, 40, -1)
+    m = lm.Model(keys, counts, int(counts.sum()) + 5, 45)
+    # the fourth token repeats the first, two random ones lie between: only the skip to the third token back tells it
+    x = r.integers(0, 4, 4000)
+    h = keys[np.stack([x, r.integers(4, 40, 4000), r.integers(4, 40, 4000), x], 1).ravel()]
+    first, ids, touched = np.arange(0, len(h) + 1, 4), m.lookup(h), (np.zeros(lm.CLASS_ROWS, np.float32), np.zeros(lm.WORD_ROWS, np.float32))
+    for _ in range(10):
+        m.learn(h, first, ids, 1.0, touched)
+    t = keys[[0, 20, 30, 0, 1, 20, 30, 0]]
+    same, other = m.score(t, np.array([0, 4, 8]), m.lookup(t))[[3, 7]]
+    assert same > other + 1
+
+
 # -- 4 decontamination
 def test_op4_against_brute_force(docs, spark):
     src = [t for _, t in pairs(docs) if t and len(t.split()) > 40][:5]
