@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 ``documents`` (the last one the mixture's rows). ``run`` writes and rereads between stages, as the check does.
 
 1. quality: documents that the classifier scores below 0.3 go.
-2. near_duplicates: of each component of the n-gram Jaccard join the smallest doc_id stays.
+2. near_duplicates: of each component of the n-gram Jaccard join one row with the smallest doc_id stays.
 3. repeated_passages: bytes covered by a 400-byte string that starts elsewhere too are cut out; documents of which
    nothing but white space is left go.
 4. benchmark_leaks: documents that hold a benchmark window go.
@@ -27,14 +27,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose doc_id names it. Repeated rows of that id collapse to one."""
-    keep = jaccard.join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"])).select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each component stays: the one with the smallest doc_id, null last. Rows count by themselves, not by doc_id."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written once, so that numbers stay
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    keep = jaccard.join(rows.select(key.alias("_key"), "text"), key="_key").filter("_key = component_id").select("_key._row")
+    return rows.join(keep, "_row").select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffixes.dedup(docs)
-    return out.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = suffixes.dedup(docs.withColumn("_size", F.octet_length("text")))
+    whole = F.octet_length("text") >= F.col("_size")
+    return out.filter(F.col("text").isNull() | whole | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

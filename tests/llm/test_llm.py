@@ -364,3 +364,17 @@ def test_pipeline_stages_take_effect(spark, sf):
     fourth = p.staged(p.benchmark_stage(spark, third, sf), "t")
     assert third.columns == fourth.columns == docs.columns and fourth.count() <= third.count() <= second.count()
     assert p.mixture_stage(spark, fourth, sf).join(fourth, "doc_id", "left_anti").count() == 0
+
+
+def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join(r.choices(WORDS, k=40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, ""), (None, None), (7, c), (7, d), (8, d), (9, e), (9, e), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in p.near_duplicate_stage(spark, docs, "").collect()]
+    assert Counter(got) == Counter([(None, a), (None, b), (None, ""), (None, None), (7, c), (7, d), (9, e), (3, "")])
+    # nothing is cut from a text that was blank on input, so it stays
+    blank = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, a)], "doc_id long, text string")
+    assert sorted(x[0] for x in p.repeated_passage_stage(spark, blank, "").collect()) == [1, 2, 3, 4]
