@@ -220,7 +220,17 @@ def _ties(t: pa.Table) -> pa.Table:
 _TIES = "pack string, bucket int, n int, tied long, bits binary"
 
 
-def _cut(length: int, make):
+def _long_runs(s: np.ndarray, data: np.ndarray, off: np.ndarray, length: int, words: int, whole: int) -> np.ndarray:
+    """Of the tied starts those whose run of consecutive starts covers ``words`` whole words or ``whole`` bytes."""
+    cut = np.flatnonzero(np.diff(s) != 1)
+    a, b = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(s) - 1]])
+    begin, end = s[a], s[b] + length
+    w = W.Words(data, off, W.SPACED, hashes=False)
+    n = np.searchsorted(w.ends, end, "right") - np.searchsorted(w.starts, begin)
+    return s[np.repeat((n >= words) | (end - begin >= whole), b - a + 1)]
+
+
+def _cut(length: int, make, words: int = 0, whole: int = 400):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -229,6 +239,8 @@ def _cut(length: int, make):
                 if len(s):
                     _, inv = np.unique(fingerprints(data, s, length), return_inverse=True)
                     s = s[_bits(W.column(batch, "f2")[i].as_py())[inv]]
+                if words and len(s):
+                    s = _long_runs(s, data, off, length, words, whole)
                 step = np.zeros(len(data) + 1, np.int32)
                 step[s] += 1
                 step[s + length] -= 1
@@ -264,7 +276,7 @@ class _Kept:
         return data[~gone].tobytes().decode("utf-8", "ignore"), int(gone.sum())
 
 
-def _apply(docs: DataFrame, text: str, carry: list[str], length: int, make) -> DataFrame:
+def _apply(docs: DataFrame, text: str, carry: list[str], length: int, make, words: int = 0) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_c"), F.col(text).cast("string").alias("_t"))
     kind = rows.schema["_c"].dataType
@@ -301,16 +313,17 @@ def _apply(docs: DataFrame, text: str, carry: list[str], length: int, make) -> D
         tied = one if tied is None else tied.union(one)
         release(spark)
     out = StructType([StructField("_c", kind), *StructType.fromDDL(make.ddl).fields])
-    return marked.join(per_pack(tied, "f2"), "pack", "left").mapInArrow(_cut(length, make), out)
+    return marked.join(per_pack(tied, "f2"), "pack", "left").mapInArrow(_cut(length, make, words), out)
 
 
-def dedup(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", length: int = 400, words: int = 0) -> DataFrame:
     """``docs`` with repeated bytes cut out of ``text``; documents of which nothing is left keep an empty text.
 
+    With ``words``, runs of repeated strings are cut only where they cover that many whole words or 400 bytes.
     A null text stays null, a column ``n_chars`` is set to the new text's length where it was set before.
     """
     rest = [c for c in docs.columns if c != text]
-    out = _apply(docs.withColumn("_null", F.col(text).isNull()), text, [*rest, "_null"], length, _Kept())
+    out = _apply(docs.withColumn("_null", F.col(text).isNull()), text, [*rest, "_null"], length, _Kept(), words)
     kept = F.when(~F.col("_c._null"), F.col("kept"))
     size = F.when(F.col("_c.n_chars").isNotNull(), F.char_length(F.coalesce(kept, F.lit("")))).cast("long") if "n_chars" in rest else None
     return out.select(*[kept.alias(c) if c == text else size.alias(c) if c == "n_chars" else F.col(f"_c.`{c}`").alias(c) for c in docs.columns])

@@ -378,3 +378,17 @@ def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark):
     # nothing is cut from a text that was blank on input, so it stays
     blank = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, a)], "doc_id long, text string")
     assert sorted(x[0] for x in p.repeated_passage_stage(spark, blank, "").collect()) == [1, 2, 3, 4]
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(6)
+    passage, short = (" ".join(f"{r.choice(WORDS)}{r.randrange(10)}" for _ in range(n)) for n in (51, 40))
+    assert 200 < len(passage) < 350 and len(short) > 150
+    other = [" ".join(f"{r.choice(WORDS)}{r.randrange(1000)}" for _ in range(30)) for _ in range(6)]
+    texts = [f"A1 {other[0]} {passage} {other[1]}", f"B2 {other[2]} {passage} {other[3]}", f"C3 {other[4]} {short} D4", f"E5 {short} {other[5]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in p.repeated_passage_stage(spark, docs, "").collect()}
+    assert [passage[5:-5] in got[i] for i in (0, 1)] == [False, False] and other[0] in got[0] and other[3] in got[1]
+    assert got[2] == texts[2] and got[3] == texts[3]
