@@ -1,40 +1,53 @@
-"""Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scoring by a hashed maximum-entropy model with a class-factored softmax, dealt by context.
 
 Tokens are words (runs of bytes other than white space, A-Z lowered) and one end a text. Token counts over all training
-texts rank the vocabulary: the first ``CLASSES - 1`` times ``WIDTH`` tokens form classes of WIDTH by rank, all others are
-the last class. The probability of a token is P(class | history) P(token | class, history); in the last class it is the
-smoothed share of the token's count. Both softmaxes start from the counts and add rows of two hashed weight tables, one
-row per feature: the previous token, the two previous, and skips to the second and third token back.
-
-Training is distributed: in each of ``rounds`` rounds every task starts from the broadcast tables, runs minibatch
-gradient steps over its part of that round's texts (each training text is used in one round, whole), and returns what
-it changed; changes are averaged per row by how often it was touched. What a task returns has a fixed size, and there
-are as many tasks as cores, not as partitions. Scoring runs numpy batches of gathered rows.
-
-Counts reach tokens in two ways: the most frequent, up to ``head`` tokens, by a broadcast table of bounded size, the
-others by a join; both are exact (up to 64-bit hashes of tokens).
+texts order the vocabulary, and nested classes of equal mass split it (frequency binning): the share of all mass that
+comes before a token, written in base 16, is its path of classes, as long as it takes to be alone. So
+P(token | history) is a product of softmaxes over 16 classes each, and depth and number of classes grow with the
+vocabulary. The most frequent tokens, up to ``head``, are leaves of their own. Every other token belongs to one of up to
+2**16 leaves by its hash, as many as the tail needs; within such a leaf it has its share of the leaf's counts.
+
+A softmax starts from the classes' masses and adds a row of 16 weights per feature and node of the path, named by their
+hash. Features are the previous token, the two previous (n-grams), the token before the previous alone, and the previous
+with the third back (skips). The weights are never in one place: occurrences go to blocks by their previous token, so
+a block holds all occurrences of its n-grams, learns their rows, and scores what it holds. The number of blocks grows
+with the text, so rows grow with the n-grams of the corpus; only the skip without the previous token is learned from the
+block's own contexts. Training is gradient steps, block by block: a row moves by its gradient over all training
+occurrences of the block, divided by an estimate of the curvature and a prior; features follow each other, ``sweeps`` times.
+
+All texts are scored with the same rows. While training, though, an occurrence is left out of the rows that later features
+see, so that they don't take for known what only the occurrence itself tells (one step would be spent on memory otherwise).
+
+Hot previous tokens are dealt further by the token before, then by the third back, then by the text, so no key holds
+more than half of a block's mean share, but for one text that repeats three hot tokens throughout.
+
+Between tasks move packs: the occurrences of about 2**21 tokens for one block, as compressed byte planes, and back their
+summed scores a text. Counts reach tokens in two ways: the head by a broadcast table of bounded size, the others by a
+join; both are exact (up to 64-bit hashes of tokens).
 
 Cases: null and empty texts are one end token; an empty training set gives every token the uniform unseen share;
-repeated rows count and are scored repeatedly; very long texts are scored whole.
+repeated rows count and are scored repeatedly, equally; very long texts are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ashlar.llm import words as W
-from ashlar.llm.store import release, staged
-
-CLASSES, WIDTH = 32, 64
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
-BATCH = 4096
+from ashlar.llm.store import staged
+
+BITS, DIGITS = 4, 15
+BRANCH = 1 << BITS
+#: tokens dealt at once by a task, bytes of text a block has on average, rows of weights handled at once
+FLUSH, BLOCK_BYTES, ROWS = 1 << 21, 1 << 23, 1 << 13
+#: bits of a tail token's hash that name it in histories; the first of them choose its leaf
+TAIL = 24
 #: hash of the end token; no word has it but by collision
 END = np.uint64(0x1F83D9ABFB41BD6B)
-BOS = np.uint64(0x5BE0CD19137E2179)
 _U = np.uint64
 
 
@@ -115,139 +128,372 @@ class Lookup:
         return out
 
 
-class Model:
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int):
-        """keys and counts: the head, by falling count; n tokens, v distinct ones in training."""
-        self.lookup, self.counts, self.n, self.v = Lookup(keys), counts.astype(float), n, v
-        top = min(len(keys), (CLASSES - 1) * WIDTH)
-        self.top, self.total = top, n + 0.1 * (v + 1)
-        c = np.zeros((CLASSES - 1) * WIDTH)
-        c[:top] = self.counts[:top] + 0.1
-        self.rest = max(self.total - c.sum(), 0.1)  # mass of all tokens outside the classes
-        by = c.reshape(CLASSES - 1, WIDTH)
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.maximum(np.log(np.append(by.sum(1), self.rest) / self.total), -30).astype(np.float32)
-            self.word_bias = np.maximum(np.log(by / np.maximum(by.sum(1, keepdims=True), 1e-300)), -30).astype(np.float32)
-        self.cw = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.ww = np.zeros((WORD_ROWS, WIDTH), np.float32)
+class Tree:
+    """Nested classes of leaves by their masses: a leaf's path is its place in the falling order of mass, in base 16."""
+
+    def __init__(self, mass: np.ndarray):
+        self.mass = mass
+
+    def build(self) -> Tree:
+        """Per level: each leaf's node (-1 below its end) and digit, and each node's log shares. Made where it is used."""
+        order = np.argsort(-self.mass, kind="stable")
+        m = self.mass[order]
+        end = np.cumsum(m)
+        code = ((end - m) / end[-1] * 2.0 ** (BITS * DIGITS)).astype(np.uint64)
+        gap = np.concatenate([[_U(1) << _U(63)], code[1:] ^ code[:-1], [_U(1) << _U(63)]])
+        near = np.minimum(gap[1:], gap[:-1])  # the nearer neighbour shares more digits
+        self.node, self.digit, self.bias = [], [], []
+        for level in range(DIGITS):
+            on = np.flatnonzero((near >> _U(BITS * (DIGITS - level))) == 0)
+            if not len(on):
+                break
+            prefix = code[on] >> _U(BITS * (DIGITS - level))
+            at = np.cumsum(np.concatenate([[False], prefix[1:] != prefix[:-1]]))
+            d = ((code[on] >> _U(BITS * (DIGITS - level - 1))) & _U(BRANCH - 1)).astype(np.int64)
+            share = np.bincount(at * BRANCH + d, m[on], (at[-1] + 1) * BRANCH).reshape(-1, BRANCH)
+            with np.errstate(divide="ignore"):
+                self.bias.append(np.maximum(np.log(share / share.sum(1, keepdims=True)), -60).astype(np.float32))
+            node, digit = np.full(len(m), -1, np.int32), np.zeros(len(m), np.uint8)
+            node[order[on]], digit[order[on]] = at, d
+            self.node.append(node)
+            self.digit.append(digit)
+        return self
+
+
+def _bits(n: int) -> int:
+    return max(1, int(n - 1).bit_length())
+
+
+def _grouped(node: np.ndarray, bits: int, h: np.ndarray):
+    """(order by node and feature, first position of each group); groups are told apart by the hash bits that fit."""
+    low = _bits(len(node))
+    k = (h >> _U(bits)) & ~_U((1 << low) - 1) | np.arange(len(node), dtype=np.uint64)
+    if bits:
+        k |= node.astype(np.uint64) << _U(64 - bits)
+    k.sort()
+    order = (k & _U((1 << low) - 1)).astype(np.int64)
+    k >>= _U(low)
+    return order, _first(k)
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Positions at which one of the keys changes."""
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of groups of rows; small groups, which are most, all at once."""
+    out = np.empty((len(starts), y.shape[1]), np.float32)
+    for size in range(2, 7):
+        at = np.flatnonzero(sizes == size)
+        if len(at):
+            s = starts[at]
+            total = y.take(s, axis=0)
+            for j in range(1, size):
+                total += y.take(s + j, axis=0)
+            out[at] = total
+    at = np.flatnonzero(sizes > 6)
+    if len(at):
+        ends = np.stack([starts[at], starts[at] + sizes[at]], 1).ravel()
+        out[at] = np.add.reduceat(y, ends[:-1] if ends[-1] == len(y) else ends, axis=0)[::2]
+    return out
+
+
+def _step(x: np.ndarray, full: np.ndarray, order: np.ndarray | None, starts: np.ndarray, digit: np.ndarray, learn: np.ndarray, prior: float) -> None:
+    """One gradient step of every group's row, added to the logits ``full`` of its occurrences.
+
+    The gradient is observed less expected counts; the curvature of a class is estimated by their mean. Expected counts
+    come from the logits ``x``, which differ for training occurrences: there each is left out of the row added to it, as
+    if its text were not learned from, so that later features don't take for known what only the occurrence itself tells.
+    """
+    sizes = np.diff(np.append(starts, len(x)))
+    alone = starts[sizes == 1]
+    alone = np.sort(alone if order is None else order[alone])
+    alone = alone[learn[alone] > 0]
+    for s in range(0, len(alone), ROWS):  # nothing is left when the only occurrence is left out
+        at = alone[s : s + ROWS]
+        y = np.exp(x.take(at, axis=0))
+        y *= (-1 / (y @ _ONES))[:, None]
+        curvature = y * -0.5
+        curvature += prior
+        own = np.arange(0, len(at) * BRANCH, BRANCH) + digit[at]
+        y.ravel()[own] += 1
+        curvature.ravel()[own] += 0.5
+        y /= curvature
+        y += full.take(at, axis=0)
+        full[at] = y
+    some = (sizes > 1) & (np.add.reduceat(learn if order is None else learn[order], starts) > 0)
+    if not some.any():
+        return
+    rows = np.flatnonzero(np.repeat(some, sizes))
+    sizes = sizes[some]
+    rows = rows if order is None else order[rows]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    g = 0
+    while g < len(sizes):
+        last = max(g + 1, int(np.searchsorted(starts, starts[g] + ROWS, "right")) - 1)
+        s, e, n = starts[g], starts[last], last - g
+        at = rows[s:e]
+        z = x.take(at, axis=0)
+        lr = learn[at]
+        y = np.exp(z)
+        y *= (lr / (y @ _ONES))[:, None]
+        group, d = np.repeat(np.arange(n), sizes[g:last]), digit[at]
+        seen = np.bincount(group * BRANCH + d, lr, n * BRANCH).astype(np.float32).reshape(-1, BRANCH)
+        expected = _sums(y, starts[g:last] - s, sizes[g:last])
+        own = np.arange(0, len(at) * BRANCH, BRANCH) + d
+        gradient, curvature = seen - expected, (seen + expected) / 2 + prior
+        change = (gradient / curvature).take(group, axis=0)
+        change += full.take(at, axis=0)
+        full[at] = change
+        gradient, curvature = gradient.take(group, axis=0), curvature.take(group, axis=0)
+        gradient += y
+        gradient.ravel()[own] -= lr
+        y *= 0.5
+        curvature -= y
+        curvature.ravel()[own] -= lr / 2
+        gradient /= curvature
+        z += gradient
+        x[at] = z
+        g = last
+
+
+_ONES = np.ones(BRANCH, np.float32)
 
-    def features(self, h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the history features of every token."""
-        pos = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+
+class Model:
+    """Counts of the head, leaves of all tokens, and how contexts are dealt; the weights live in the blocks."""
+
+    def __init__(self, keys, counts, n: int, v: int, cells: np.ndarray, blocks: int = 1, sweeps: int = 1, prior: float = 0.3):
+        """keys and counts: the head, by falling count; n tokens, v distinct ones in training; cells: masses of the tail's leaves."""
+        self.lookup, self.counts, self.n, self.v = Lookup(keys), np.asarray(counts, float), n, v
+        self.total = n + 0.1 * (v + 1)
+        self.head, self.cell_bits = len(keys), int(len(cells) - 1).bit_length()
+        self.cells = np.array(cells, float)
+        lost = np.flatnonzero(~self.lookup.found)  # the few that the table can't hold count as tail
+        np.add.at(self.cells, self.cell(keys[lost] >> _U(64 - TAIL)), self.counts[lost] + 0.1)
+        mass = np.append(self.counts + 0.1, self.cells)
+        mass[lost] = 0.1 / max(self.total, 1)
+        self.tree, self.built = Tree(mass), False
+        self.blocks, self.sweeps, self.prior = blocks, sweeps, prior
+        self.hot = int(np.searchsorted(-self.counts, -n / (2 * blocks), "left")) if blocks > 1 else 0
+
+    def cell(self, name: np.ndarray) -> np.ndarray:
+        return (name.astype(np.uint64) >> _U(TAIL - self.cell_bits)).astype(np.int64)
+
+    def ids(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Names of tokens in histories: ranks of the head, then hash bits; one more than the last stands for no token."""
+        return np.where(rank >= 0, rank, self.head + (h >> _U(64 - TAIL)).astype(np.int64)).astype(np.uint32)
+
+    def history(self, ids: np.ndarray, first: np.ndarray):
+        pos = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+        none = self.head + (1 << TAIL)
 
         def back(k):
-            out = np.full(len(h), BOS, np.uint64)
-            ok = np.flatnonzero(pos >= k)
-            out[ok] = h[ok - k]
+            out = np.full(len(ids), none, np.uint32)
+            out[k:] = ids[: len(ids) - k]
+            out[pos < k] = none
             return out
 
-        a, b, c = back(1), back(2), back(3)
-        return [W.mix(a + _U(1)), W.combine(a, b), W.mix(b + _U(2)), W.mix(c + _U(3))]
-
-    def _odds(self, table, rows, bias, buffers) -> np.ndarray:
-        """exp of the summed rows and bias; biases are at most 0 and weights small, so nothing overflows."""
-        n = len(rows[0])
-        x, y = buffers[0][:n], buffers[1][:n]
-        np.take(table, rows[0], axis=0, out=x, mode="clip")
-        for r in rows[1:]:
-            np.take(table, r, axis=0, out=y, mode="clip")
-            x += y
-        x += bias
-        np.minimum(x, 60, out=x)
-        return np.exp(x, out=x)
-
-    def batches(self, h, first, ids):
-        """Minibatches: slice, class of each token, rows of the class table, indices of ranked tokens, their word and rows."""
-        f = self.features(h, first)
-        ids = np.where((ids >= 0) & (ids < self.top), ids, -1)
-        cls = np.where(ids >= 0, ids // WIDTH, CLASSES - 1)
-        for s in range(0, len(h), BATCH):
-            e = min(s + BATCH, len(h))
-            part = [x[s:e] for x in f]
-            c = cls[s:e]
-            inside = np.flatnonzero(c < CLASSES - 1)
-            k = c[inside].astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-            yield (
-                s, e, c, [(x & _U(CLASS_ROWS - 1)).astype(np.int64) for x in part], inside, ids[s:e][inside] % WIDTH,
-                [((x[inside] + k) * _U(0xBF58476D1CE4E5B9) >> _U(64 - WORD_ROWS.bit_length() + 1)).astype(np.int64) for x in part],
-            )
-
-    def score(self, h, first, ids) -> np.ndarray:
-        """log10 probability of every token; in the last class, of the class alone."""
-        out = np.empty(len(h))
-        cb, wb = ([np.empty((BATCH, n), np.float32) for _ in range(2)] for n in (CLASSES, WIDTH))
-        for s, e, c, rows, inside, word, wrows in self.batches(h, first, ids):
-            x = self._odds(self.cw, rows, self.class_bias, cb)
-            p = x[np.arange(e - s), c].astype(float) / x.sum(1)
-            if len(inside):
-                x = self._odds(self.ww, wrows, self.word_bias[c[inside]], wb)
-                p[inside] *= x[np.arange(len(inside)), word] / x.sum(1)
-            out[s:e] = np.log10(np.maximum(p, 1e-30))
-        return out
+        return back(1), back(2), back(3)
+
+    def block(self, a, b, c, salt) -> np.ndarray:
+        """The block of each context; ``salt`` is a hash of the text."""
+        none = self.head + (1 << TAIL)
+        key = W.mix(a.astype(np.uint64))
+        at = np.arange(len(a))
+        for more in (b, c, None):
+            last = a if more is b else b if more is c else c
+            at = at[(last[at] < self.hot) | (last[at] == none)]
+            if not len(at):
+                break
+            key[at] = W.combine(key[at], (salt if more is None else more)[at].astype(np.uint64))
+        return (key % _U(self.blocks)).astype(np.int64)
+
+    def learn_and_score(self, a, b, c, w, learn) -> np.ndarray:
+        """log10 probability of each token's leaf; weights are learned from the occurrences marked ``learn``."""
+        if not self.built:
+            self.tree.build()
+            self.built = True
+        n, tree = len(a), self.tree
+        low = _bits(n)
+        k = (a.astype(np.uint64) << _U(39)) | (W.mix(b.astype(np.uint64)) >> _U(25 + low) << _U(low)) | np.arange(n, dtype=np.uint64)
+        k.sort()
+        order = (k & _U((1 << low) - 1)).astype(np.int64)  # by previous token and the one before it
+        a, b, c, learn = a[order], b[order], c[order], learn[order].astype(np.float32)
+        two = k >> _U(low)
+        name = w[order].astype(np.int64)
+        leaf = np.where(name < self.head, name, self.head + self.cell(np.maximum(name - self.head, 0)))
+        b, c = b.astype(np.uint64), c.astype(np.uint64)
+        second, third = W.mix(b + _U(2 << 40)), W.combine(a.astype(np.uint64), c)
+        out, at = np.zeros(n), np.arange(n)
+        for node, digit, bias in zip(tree.node, tree.digit, tree.bias, strict=True):
+            on = node[leaf[at]]
+            at, on = at[on >= 0], on[on >= 0]
+            if not len(at):
+                break
+            bits = int(len(bias) - 1).bit_length()
+            if bits:
+                k = (on.astype(np.uint64) << _U(32)) | np.arange(len(on), dtype=np.uint64)
+                k.sort()
+                o = (k & _U((1 << 32) - 1)).astype(np.int64)
+                at, on = at[o], on[o]
+            d, lr = digit[leaf[at]].astype(np.int64), learn[at]
+            x = bias.take(on, axis=0)
+            full = x.copy()
+            groups = [(None, _first(on, a[at])), _grouped(on, bits, second[at]), (None, _first(on, two[at])), _grouped(on, bits, third[at])]
+            for _ in range(self.sweeps):
+                for o, starts in groups:
+                    _step(x, full, o, starts, d, lr, self.prior)
+            for s in range(0, len(full), ROWS):
+                y = full[s : s + ROWS]
+                out[at[s : s + ROWS]] += y[np.arange(len(y)), d[s : s + ROWS]] - np.log(np.exp(y) @ _ONES)
+        back = np.empty(n)
+        back[order] = out / np.log(10)
+        return back
+
 
-    def learn(self, h, first, ids, rate, touched) -> None:
-        cb, wb = ([np.empty((BATCH, n), np.float32) for _ in range(2)] for n in (CLASSES, WIDTH))
-        for s, e, c, rows, inside, word, wrows in self.batches(h, first, ids):
-            for table, n, r, bias, hit, buf in ((self.cw, touched[0], rows, self.class_bias, c, cb), (self.ww, touched[1], wrows, self.word_bias[c[inside]], word, wb)):
-                if len(hit):
-                    g = self._odds(table, r, bias, buf)
-                    g /= g.sum(1, keepdims=True)
-                    g[np.arange(len(hit)), hit] -= 1
-                    for x in r:
-                        _step(table, n, x, g, rate)
+def _squeeze(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _step(table, touched, rows, g, rate) -> None:
-    """Gradient step per row: the mean gradient of its tokens, damped where there are few."""
-    order = np.argsort(rows)
-    r = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    n = np.diff(np.append(at, len(r))).astype(np.float32)
-    r = r[at]
-    table[r] -= np.add.reduceat(g[order], at, axis=0) * (rate / (n + 10))[:, None]
-    touched[r] += n
+def _planes(*cols: np.ndarray) -> np.ndarray:
+    """Byte planes of 32-bit columns, one row a plane."""
+    return np.concatenate([np.ascontiguousarray(c.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T for c in cols])
 
 
-_BLOCK = 128 * WIDTH  # weights in a row of what a task returns
+def _columns(blob: bytes, n: int, k: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, n * k * 4), np.uint8).reshape(k, 4, n)
+    return [np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in raw]
 
 
-def _train(shared, rate: float):
+def _table(rows: list, schema) -> pa.Table:
+    return pa.table([list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in schema], schema=schema)
+
+
+_DEALT = pa.schema([("block", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
+_SQL_DEALT = "block long, p long, n int, blob binary"
+
+
+def _deal(shared):
+    """Per pack of texts: one row of the texts' own values (n = -1, block < 0), and per block one of its occurrences."""
+
     def run(batches):
         m: Model = shared.value
-        before = m.cw, m.ww
-        m.cw, m.ww = m.cw.copy(), m.ww.copy()
-        touched = np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)
+        with np.errstate(divide="ignore"):
+            base, cells = np.log10(m.counts + 0.1), np.log10(m.cells)
+        held: list = []
+        size = 0
+
+        def flush():
+            rid = int(held[0][0]["_rid"][0].as_py())
+            ids, bags, firsts, learn = [], [], [0], []
+            for _, h_ids, bag, counts, lr in held:
+                ids.append(h_ids)
+                bags.append(bag)
+                firsts.append(counts)
+                learn.append(lr)
+            counts = np.concatenate(firsts[1:])
+            first = np.concatenate([[0], np.cumsum(counts)])
+            w = np.concatenate(ids)
+            row = np.repeat(np.arange(len(counts)), counts)
+            a, b, c = m.history(w, first)
+            block = m.block(a, b, c, np.concatenate(bags)[row])
+            if len(w) < 1 << 22 and m.blocks <= 1 << 22:
+                k = (block.astype(np.uint64) << _U(42)) | (np.minimum(a, (1 << 20) - 1).astype(np.uint64) << _U(22)) | np.arange(len(w), dtype=np.uint64)
+                k.sort()
+                order = (k & _U((1 << 22) - 1)).astype(np.int64)
+            else:
+                order = np.lexsort((a, block))
+            block = block[order]
+            planes = _planes(a[order], b[order], c[order], w[order], (2 * row + np.concatenate(learn)[row])[order])
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            sink = pa.BufferOutputStream()
+            own = pa.Table.from_batches([x[0] for x in held])
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(own)
+            yield pa.RecordBatch.from_pylist([{"block": -1 - rid % m.blocks, "p": rid, "n": -1, "blob": sink.getvalue().to_pybytes()}], schema=_DEALT)
+            ends = np.append(cut[1:], len(block))
+            for i in range(0, len(cut), 64):
+                rows = [(int(block[s]), rid, int(e - s), _squeeze(planes[:, s:e].tobytes())) for s, e in zip(cut[i : i + 64], ends[i : i + 64], strict=True)]
+                yield _table(rows, _DEALT).to_batches()[0]
+
         for batch in batches:
-            data, off = W.buffers(batch.column(0))
+            data, off = W.buffers(W.column(batch, "_t"))
+            learn = W.column(batch, "_learn").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in W.chunks(off):
                 h, first = tokens(*W.slice_rows(data, off, lo, hi))
-                m.learn(h, first, m.lookup(h), rate, touched)
-        after = m.cw, m.ww
-        m.cw, m.ww = before
-        b = 0
-        for old, new, n in zip(before, after, touched, strict=True):
-            change = (new - old).astype(np.float16).reshape(-1, _BLOCK)
-            per = len(n) // len(change)
-            for i, x in enumerate(change):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n[i * per : (i + 1) * per].tobytes()], pa.binary())], ["block", "d", "n"])
-                b += 1
+                i = m.lookup(h)
+                seen = i >= 0
+                n = np.diff(first)
+                row = np.repeat(np.arange(hi - lo), n)
+                lp = np.zeros(len(h))
+                lp[seen] = base[i[seen]]
+                t = np.flatnonzero(~seen)
+                share = np.zeros(len(h))
+                share[t] = cells[m.cell(h[t] >> _U(64 - TAIL))]
+                cut = np.searchsorted(t, first).astype(np.int32)
+                own = pa.RecordBatch.from_arrays(
+                    [
+                        W.column(batch, "_rid").slice(lo, hi - lo), W.column(batch, "_c").slice(lo, hi - lo), pa.array(n.astype(np.int64)),
+                        pa.array(np.bincount(row[seen], minlength=hi - lo).astype(np.int64)), pa.array(np.bincount(row, lp, hi - lo) - n * np.log10(m.total)),
+                        pa.array(-np.bincount(row, share, hi - lo)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[t].view(np.int64))),
+                    ],
+                    ["_rid", "_c", "n_tokens", "known", "base", "score", "tail"],
+                )
+                held.append((own, m.ids(h, i), np.add.reduceat(W.mix(h), first[:-1]), n, learn[lo:hi]))
+                size += len(h)
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _sum(t: pa.Table) -> pa.Table:
-    """Of one block: the changes summed by how often each row was touched, and those counts summed."""
-    total = count = 0
-    for d, n in zip(t.column("d"), t.column("n"), strict=True):
-        n = np.frombuffer(n.as_buffer(), np.float32)
-        total = total + np.frombuffer(d.as_buffer(), np.float16).astype(np.float32).reshape(len(n), -1) * n[:, None]
-        count = count + n
-    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "d": pa.array([total.tobytes()], pa.binary()), "n": pa.array([count.tobytes()], pa.binary())})
+def _work(shared):
+    """A block: learn the rows of its contexts, and sum the scores of its occurrences a text."""
 
+    def run(t: pa.Table) -> pa.Table:
+        if not t.num_rows or t["block"][0].as_py() < 0:
+            return t.cast(_DEALT)
+        m: Model = shared.value
+        t = t.take(pa.array(np.argsort(t["p"].to_numpy(), kind="stable")))  # so that sums don't hang on arrival
+        n = t["n"].to_numpy()
+        a, b, c, w, doc = (np.concatenate(x) for x in zip(*(_columns(x.as_buffer(), k, 5) for x, k in zip(t["blob"], n, strict=True)), strict=True))
+        lp = m.learn_and_score(a, b, c, w, (doc & 1).astype(np.float32))
+        rows, s, block = [], 0, t["block"][0].as_py()
+        for p, k in zip(t["p"].to_pylist(), n, strict=True):
+            i, at = np.unique(doc[s : s + k] >> 1, return_inverse=True)
+            total = np.bincount(at, lp[s : s + k]).astype(np.float32)
+            rows.append((block, p, len(i), _squeeze(_planes(i, total.view(np.uint32)).tobytes())))
+            s += k
+        return _table(rows, _DEALT)
 
-def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, rounds: int = 2, rate: float = 1.0) -> tuple[Model, DataFrame]:
-    """(model, counts): counts holds (h, n) of every training token."""
-    spark = docs.sparkSession
+    return run
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """A pack of texts with the scores that all blocks summed for them."""
+    t = t.take(pa.array(np.argsort(t["block"].to_numpy(), kind="stable")))
+    n = t["n"].to_numpy()
+    own = pa.ipc.open_stream(t["blob"][int(np.flatnonzero(n < 0)[0])].as_buffer()).read_all()
+    total = own["score"].to_numpy().copy()
+    for blob, k in zip(t["blob"], n, strict=True):
+        if k > 0:
+            i, x = _columns(blob.as_buffer(), k, 2)
+            total[i] += x.view(np.float32)
+    at = own.schema.get_field_index("score")
+    return own.set_column(at, "score", pa.array(total)).drop_columns(["_rid"])
+
+
+def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, blocks: int = 1, sweeps: int = 1, prior: float = 0.3) -> tuple[Model, DataFrame]:
+    """(model, counts): the vocabulary of ``docs``, its classes, and (h, n) of every token."""
     t = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = staged(t.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     # the head: all tokens of the highest powers of two of counts that fit
@@ -255,78 +501,40 @@ def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, rounds: int =
     levels = counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).orderBy(F.desc("l")).collect()  # 63 rows at most
     n, v, least, held = sum(r["n"] for r in levels), sum(r["v"] for r in levels), 62, 0
     for r in levels:
-        held += r["v"]
-        if held > head:
+        if held + r["v"] > head:
             break
+        held += r["v"]
         least = r["l"]
     top = counts.filter(F.col("n") >= (1 << least)).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.lexsort((h, -c))
-    m = Model(h[order], c[order], n, v)
-    tasks = spark.sparkContext.defaultParallelism
-    part = F.pmod(F.xxhash64("t"), F.lit(rounds))
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(m)
-        mine = t.filter(part == r).coalesce(tasks)
-        got = mine.mapInArrow(_train(shared, rate / (1 + r)), "block int, d binary, n binary").groupBy("block").applyInArrow(_sum, "block int, d binary, n binary").toArrow()
-        d = {b: (x, y) for b, x, y in zip(got["block"].to_pylist(), got["d"], got["n"], strict=True)}
-        cw, ww, b = m.cw.copy(), m.ww.copy(), 0
-        for w in (cw, ww):
-            flat = w.reshape(-1, _BLOCK)
-            per = len(w) // len(flat)
-            for i in range(len(flat)):
-                if b in d:
-                    x, k = (np.frombuffer(y.as_buffer(), np.float32) for y in d[b])
-                    flat[i] += (x.reshape(per, -1) / np.maximum(k, 1)[:, None]).ravel()
-                b += 1
-        m.cw, m.ww = cw, ww
-        shared.unpersist()
-        release(spark)
-    return m, counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: carry, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bits = min(16, max(0, int((v - held) // 16).bit_length()))
+    cells = np.full(1 << bits, 0.1)
+    if held < v:
+        cell = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
+        got = counts.filter(F.col("n") < (1 << least)).groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 0.1).alias("m")).toArrow()  # 2**16 rows at most
+        cells[got["cell"].to_numpy()] += got["m"].to_numpy()
+    return Model(h[order], c[order], n, v, cells, blocks, sweeps, prior), counts
 
-    def run(batches):
-        m: Model = shared.value
-        with np.errstate(divide="ignore"):
-            base = np.log10(m.counts + 0.1)
-        for batch in batches:
-            data, off = W.buffers(W.column(batch, "_t"))
-            n, known, b, s, tails = [], [], [], [], []
-            for lo, hi in W.chunks(off):
-                h, first = tokens(*W.slice_rows(data, off, lo, hi))
-                i = m.lookup(h)
-                seen = i >= 0
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                out = m.score(h, first, i)
-                lp = np.zeros(len(h))
-                lp[seen] = base[i[seen]]
-                ranked = seen & (i < m.top)
-                # in the last class a token adds its share of that class; for tokens of the tail that needs its count
-                out += np.where(ranked, 0.0, lp - np.log10(m.rest))
-                size = np.diff(first)
-                n.append(size)
-                known.append(np.bincount(row[seen], minlength=hi - lo))
-                b.append(np.bincount(row, lp, hi - lo) - size * np.log10(m.total))
-                s.append(np.bincount(row, out, hi - lo))
-                t = np.flatnonzero(~seen)
-                cut = np.searchsorted(t, first)
-                hs = h[t].view(np.int64)
-                tails += [hs[cut[k] : cut[k + 1]] for k in range(hi - lo)]
-            z = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays(
-                [W.column(batch, "_rid"), W.column(batch, "_c"), z(n, np.int64), z(known, np.int64), z(b, float), z(s, float), pa.array(tails, pa.list_(pa.int64()))],
-                ["_rid", "_c", "n_tokens", "known", "base", "score", "tail"],
-            )
 
+def score(docs: DataFrame, learn: Column | None = None, text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Per row of ``docs``: carry, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``learn`` marks the rows to learn from (all where it is not given, null is no); all rows are scored. To score other
+    texts than those learned from, give both with a mark.
+    """
+    spark = docs.sparkSession
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+    model, counts = fit(docs.filter(learn), text, blocks=max(1, -(-size // BLOCK_BYTES)), **options)
+    shared = spark.sparkContext.broadcast(model)
     held = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry])
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), held.alias("_c"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    schema = StructType([*rows.select("_rid", "_c").schema.fields, *StructType.fromDDL("n_tokens long, known long, base double, score double, tail array<long>").fields])
-    first = staged(rows.mapInArrow(run, schema), "scored")
-    missing = [int(x) for x in model.lookup.keys[~model.lookup.found].view(np.int64)]
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), held.alias("_c"), learn.alias("_learn"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    dealt = rows.mapInArrow(_deal(shared), _SQL_DEALT).repartition(min(model.blocks, 1 << 15), "block")
+    schema = StructType([*rows.select("_c").schema.fields, *StructType.fromDDL("n_tokens long, known long, base double, score double, tail array<long>").fields])
+    worked = dealt.groupBy("block").applyInArrow(_work(shared), _SQL_DEALT)
+    first = staged(worked.groupBy("p").applyInArrow(_gather, schema).withColumn("_rid", F.monotonically_increasing_id()), "scored")
+    missing = not model.lookup.found.all()
     floor = float(model.counts.min()) if len(model.counts) else float("inf")
     tail = counts if missing else counts.filter(F.col("n") < floor)
     c = first.filter("size(tail) > 0").select("_rid", F.explode("tail").alias("h")).join(tail, "h", "left").select("_rid", F.coalesce("n", F.lit(0)).alias("n"))
@@ -347,6 +555,5 @@ def op3(docs: DataFrame) -> DataFrame:
     """The query's digest."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     docs = docs.select("doc_id", "text")
-    model, counts = fit(docs.filter(~held))
-    out = score(docs, model, counts, carry=("doc_id",))
+    out = score(docs, ~held, carry=("doc_id",))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -129,45 +129,124 @@ def test_op3_counts_and_score(docs):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
 
 
-def test_lm_tail_goes_through_the_join(docs, spark):
-    model, counts = lm.fit(docs, head=8)
-    a = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, model, counts, carry=("doc_id",)).collect()}
-    model, counts = lm.fit(docs)
-    assert a == {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, model, counts, carry=("doc_id",)).collect()}
-    model, counts = lm.fit(docs.limit(0))
-    assert lm.score(docs, model, counts).filter("n_known > 0 or score > 0").count() == 0
+def lm_values(out):
+    return {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in out.collect()}
 
 
-def test_lm_is_a_distribution_and_learns():
+def test_lm_tail_goes_through_the_join(docs):
+    a, b = (lm_values(lm.score(docs, head=h, carry=("doc_id",))) for h in (8, 1 << 20))
+    assert {d: x[:2] for d, x in a.items()} == {d: x[:2] for d, x in b.items()}
+    none = lm.score(docs, F.lit(False))
+    assert none.count() == docs.count() and none.filter("n_known > 0 or score != 0").count() == 0  # base and model: the one unseen share
+    assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_lm_blocks_agree_with_direct_scoring(docs, monkeypatch):
+    """Dealt over many blocks and packs, every text has the score that its contexts have when each block is run by hand."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    rows = pairs(docs)
+    got = {d: x[2] for d, x in lm_values(lm.score(docs, F.col("doc_id") % 10 != 0, carry=("doc_id",))).items()}
+    import pyarrow as pa
+
+    data, off = words.buffers(pa.array([t for _, t in rows], pa.string()))
+    h, first = lm.tokens(data, off)
+    row = np.repeat(np.arange(len(rows)), np.diff(first))
+    learn = np.array([d % 10 != 0 for d, _ in rows])[row]
+    keys, counts = np.unique(h[learn], return_counts=True)
+    order = np.lexsort((keys, -counts))
+    m = lm.Model(keys[order], counts[order], int(counts.sum()), len(keys), np.array([0.1]), -(-len(data) // 2000))
+    ids = m.ids(h, m.lookup(h))
+    a, b, c = m.history(ids, first)
+    block = m.block(a, b, c, np.add.reduceat(words.mix(h), first[:-1])[row])
+    assert m.hot and len(set(block)) > 5
+    total = np.zeros(len(rows))
+    for k in set(block.tolist()):
+        at = np.flatnonzero(block == k)
+        p = m.learn_and_score(a[at], b[at], c[at], ids[at], learn[at].astype(np.float32))
+        np.add.at(total, row[at], p)  # an unseen token has all of its leaf's mass here: 0.1 of 0.1
+    assert max(abs(total[i] - got[d]) / max(1, abs(total[i])) for i, (d, _) in enumerate(rows)) < 1e-3
+    same = {}
+    for d, t in rows:
+        assert same.setdefault(t or "", got[d]) == pytest.approx(got[d], rel=1e-4)
+
+
+def lm_model(n=40, cells=(0.1,), **options):
+    keys, counts = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(2 * n, n, -1)
+    return lm.Model(keys, counts, int(counts.sum()), n, np.array(cells), **options)
+
+
+def test_lm_is_a_distribution():
+    """In any context the leaves' probabilities sum to 1, and a leaf's masses are its tokens' and one unseen one's."""
+    m = lm_model(cells=(5.1, 0.1, 3.3, 2.0))
     r = np.random.default_rng(1)
-    keys, counts = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(80, 40, -1)
-    m = lm.Model(keys, counts, int(counts.sum()) + 5, 45)
-    h = np.tile(keys[[0, 1, 2, 3]], 500)
-    first, ids, touched = np.array([0, len(h)]), m.lookup(h), (np.zeros(lm.CLASS_ROWS, np.float32), np.zeros(lm.WORD_ROWS, np.float32))
-    before = m.score(h, first, ids).sum()
-    for _ in range(5):
-        m.learn(h, first, ids, 1.0, touched)
-    assert m.score(h, first, ids).sum() > before / 2
-    ctx = keys[r.integers(0, 40, 3)]
-    p = sum(10 ** m.score(np.append(ctx, k), np.array([0, 4]), m.lookup(np.append(ctx, k)))[3] for k in keys)
-    rest = 10 ** m.score(np.append(ctx, np.uint64(7)), np.array([0, 4]), m.lookup(np.append(ctx, np.uint64(7))))[3]
-    assert p + rest == pytest.approx(1, abs=1e-3)
-
-
-def test_lm_uses_the_third_token_back():
-    assert lm.CLASS_ROWS >= 1 << 14 and lm.WORD_ROWS >= 1 << 15
+    train = r.integers(0, 40, (500, 4))
+    train[:250, 3] = train[:250, 0]
+    leaves = 40 + 4
+    ask = np.repeat(train[:1], leaves, 0)
+    ask[:, 3] = np.r_[0:40, 40 + (np.arange(4) << (lm.TAIL - 2))]
+    x = np.concatenate([train, ask]).astype(np.uint32)
+    p = m.learn_and_score(x[:, 2], x[:, 1], x[:, 0], x[:, 3], np.r_[np.ones(500), np.zeros(leaves)].astype(np.float32))[500:]
+    assert (10**p).sum() == pytest.approx(1, abs=1e-5)
+    # with nothing to learn from, a leaf has its share of the mass
+    p = m.learn_and_score(*(ask[:, k].astype(np.uint32) for k in (2, 1, 0, 3)), np.zeros(leaves, np.float32))
+    mass = np.r_[m.counts + 0.1, m.cells]
+    assert 10**p == pytest.approx(mass / mass.sum(), rel=1e-4)
+
+
+@pytest.mark.parametrize("back", [1, 2, 3])
+def test_lm_learns_from_each_token_back(back):
+    """A token that only the one ``back`` before it tells is likelier after that one, for rare tokens as for frequent ones."""
     r = np.random.default_rng(2)
-    keys, counts = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(80, 40, -1)
-    m = lm.Model(keys, counts, int(counts.sum()) + 5, 45)
-    # the fourth token repeats the first, two random ones lie between: only the skip to the third token back tells it
-    x = r.integers(0, 4, 4000)
-    h = keys[np.stack([x, r.integers(4, 40, 4000), r.integers(4, 40, 4000), x], 1).ravel()]
-    first, ids, touched = np.arange(0, len(h) + 1, 4), m.lookup(h), (np.zeros(lm.CLASS_ROWS, np.float32), np.zeros(lm.WORD_ROWS, np.float32))
-    for _ in range(10):
-        m.learn(h, first, ids, 1.0, touched)
-    t = keys[[0, 20, 30, 0, 1, 20, 30, 0]]
-    same, other = m.score(t, np.array([0, 4, 8]), m.lookup(t))[[3, 7]]
-    assert same > other + 1
+    for base in (0, 900):
+        m = lm_model(1000, blocks=1)
+        x = r.integers(0, 1000, (20_000, 4))
+        x[:, 2] = r.integers(100, 120, len(x))
+        x[:, 3 - back] = base + r.integers(0, 4, len(x))
+        x[:, 3] = x[:, 3 - back]
+        ask = np.array([[500, 600, 110, 0]] * 2)
+        ask[:, 3 - back], ask[:, 3] = base, (base, base + 1)
+        y = np.concatenate([x, ask]).astype(np.uint32)
+        same, other = m.learn_and_score(y[:, 2], y[:, 1], y[:, 0], y[:, 3], np.r_[np.ones(len(x)), 0, 0].astype(np.float32))[-2:]
+        assert same > other + 1
+
+
+def test_lm_trains_without_the_occurrence_itself():
+    """Texts are scored with the same rows, learned from or not; the logits that training goes by leave the occurrence out."""
+    m = lm_model(1000)
+    r = np.random.default_rng(4)
+    x = r.integers(0, 1000, (300, 4)).astype(np.uint32)
+    once = np.array([[7, 5, 3, 901]], np.uint32)
+    y = np.concatenate([x, once, once])
+    p = m.learn_and_score(y[:, 2], y[:, 1], y[:, 0], y[:, 3], np.r_[np.ones(301), 0].astype(np.float32))
+    assert p[300] == pytest.approx(p[301], abs=1e-4) and p[300] > -2
+    z, full = np.zeros((5, lm.BRANCH), np.float32), np.zeros((5, lm.BRANCH), np.float32)
+    # a group of one, and one of three of which two are learned from
+    lm._step(z, full, None, np.array([0, 1, 4]), np.array([2, 5, 5, 5, 7]), np.array([1, 1, 1, 0, 0], np.float32), 0.3)
+    assert (z[0] == 0).all() and full[0, 2] > 1 and (z[4] == 0).all() and (full[4] == 0).all()
+    assert z[1, 5] == pytest.approx(full[0, 2]) and z[3] == pytest.approx(full[3]) and full[1] == pytest.approx(full[3])
+    o, e = 2, 2 / lm.BRANCH
+    assert full[3, 5] == pytest.approx((o - e) / ((o + e) / 2 + 0.3), rel=1e-5)
+
+
+def test_lm_rows_grow_and_hot_contexts_are_dealt():
+    """No key of a block holds more than half a block's mean share, though one token is half of all."""
+    r = np.random.default_rng(3)
+    n, blocks = 200_000, 50
+    ids = np.where(r.random(n) < 0.5, 0, r.integers(1, 5000, n)).astype(np.uint32)
+    counts = np.bincount(ids)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.argsort(order)
+    keys = words.mix(np.arange(len(counts), dtype=np.uint64))
+    m = lm.Model(keys, counts[order], n, len(counts), np.array([0.1]), blocks)
+    first = np.arange(0, n + 1, 100)
+    a, b, c = m.history(rank[ids].astype(np.uint32), first)
+    block = m.block(a, b, c, np.repeat(words.mix(first[:-1].astype(np.uint64)), 100))
+    assert np.bincount(block, minlength=blocks).max() < 2 * n / blocks
+    cold = a >= m.hot
+    at = {}
+    for x, k in zip(a[cold].tolist(), block[cold].tolist(), strict=True):
+        if x < len(counts):
+            assert at.setdefault(x, k) == k  # all occurrences of a context token are in one block
 
 
 # -- 4 decontamination
