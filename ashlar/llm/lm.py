@@ -15,8 +15,9 @@ with the text, so rows grow with the n-grams of the corpus; only the skip withou
 block's own contexts. Training is gradient steps, block by block: a row moves by its gradient over all training
 occurrences of the block, divided by an estimate of the curvature and a prior; features follow each other, ``sweeps`` times.
 
-All texts are scored with the same rows. While training, though, an occurrence is left out of the rows that later features
-see, so that they don't take for known what only the occurrence itself tells (one step would be spent on memory otherwise).
+An occurrence that is learned from is left out of the rows that it is scored with, and that later features see. So a
+corpus can be scored by a model of itself: what only a text itself tells does not count for it, and texts that were
+learned from score like others. (Equal texts therefore score equally where both are learned from, or neither is.)
 
 Hot previous tokens are dealt further by the token before, then by the third back, then by the text, so no key holds
 more than half of a block's mean share, but for one text that repeats three hot tokens throughout.
@@ -43,7 +44,9 @@ from ashlar.llm.store import staged
 BITS, DIGITS = 4, 15
 BRANCH = 1 << BITS
 #: tokens dealt at once by a task, bytes of text a block has on average, rows of weights handled at once
-FLUSH, BLOCK_BYTES, ROWS = 1 << 21, 1 << 23, 1 << 13
+FLUSH, BLOCK_BYTES, ROWS, STEP = 1 << 21, 1 << 23, 1 << 13, 1 << 18
+#: parts of a power of ten that sums of scores are rounded to on their way back
+FINE = 1 << 14
 #: bits of a tail token's hash that name it in histories; the first of them choose its leaf
 TAIL = 24
 #: hash of the end token; no word has it but by collision
@@ -98,7 +101,7 @@ class Lookup:
     """Hash -> rank for a fixed set of hashes: three direct-addressed tables; what fits none of them is not found."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(10, (2 * len(keys)).bit_length())
+        self.bits = max(10, len(keys).bit_length())
         self.keys, self.tables = keys, []
         left = np.arange(len(keys))
         for shift in (0, 21, 42):
@@ -129,15 +132,14 @@ class Lookup:
 
 
 class Tree:
-    """Nested classes of leaves by their masses: a leaf's path is its place in the falling order of mass, in base 16."""
+    """Nested classes of leaves by their masses: a leaf's path is its place in the falling order of mass, in base 16.
 
-    def __init__(self, mass: np.ndarray):
-        self.mass = mass
+    Per level: each leaf's node (-1 below its end) and digit, and each node's log shares.
+    """
 
-    def build(self) -> Tree:
-        """Per level: each leaf's node (-1 below its end) and digit, and each node's log shares. Made where it is used."""
-        order = np.argsort(-self.mass, kind="stable")
-        m = self.mass[order]
+    def __init__(self, mass: np.ndarray):
+        order = np.argsort(-mass, kind="stable")
+        m = mass[order]
         end = np.cumsum(m)
         code = ((end - m) / end[-1] * 2.0 ** (BITS * DIGITS)).astype(np.uint64)
         gap = np.concatenate([[_U(1) << _U(63)], code[1:] ^ code[:-1], [_U(1) << _U(63)]])
@@ -157,7 +159,6 @@ class Tree:
             node[order[on]], digit[order[on]] = at, d
             self.node.append(node)
             self.digit.append(digit)
-        return self
 
 
 def _bits(n: int) -> int:
@@ -203,29 +204,13 @@ def _sums(y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _step(x: np.ndarray, full: np.ndarray, order: np.ndarray | None, starts: np.ndarray, digit: np.ndarray, learn: np.ndarray, prior: float) -> None:
-    """One gradient step of every group's row, added to the logits ``full`` of its occurrences.
+def _step(x: np.ndarray, order: np.ndarray | None, starts: np.ndarray, digit: np.ndarray, learn: np.ndarray, prior: float) -> None:
+    """One gradient step of every group's row, added to the logits ``x`` of its occurrences.
 
-    The gradient is observed less expected counts; the curvature of a class is estimated by their mean. Expected counts
-    come from the logits ``x``, which differ for training occurrences: there each is left out of the row added to it, as
-    if its text were not learned from, so that later features don't take for known what only the occurrence itself tells.
+    The gradient is observed less expected counts; the curvature of a class is estimated by their mean. A training
+    occurrence is left out of the row that is added to it, so a group's only one changes nothing.
     """
     sizes = np.diff(np.append(starts, len(x)))
-    alone = starts[sizes == 1]
-    alone = np.sort(alone if order is None else order[alone])
-    alone = alone[learn[alone] > 0]
-    for s in range(0, len(alone), ROWS):  # nothing is left when the only occurrence is left out
-        at = alone[s : s + ROWS]
-        y = np.exp(x.take(at, axis=0))
-        y *= (-1 / (y @ _ONES))[:, None]
-        curvature = y * -0.5
-        curvature += prior
-        own = np.arange(0, len(at) * BRANCH, BRANCH) + digit[at]
-        y.ravel()[own] += 1
-        curvature.ravel()[own] += 0.5
-        y /= curvature
-        y += full.take(at, axis=0)
-        full[at] = y
     some = (sizes > 1) & (np.add.reduceat(learn if order is None else learn[order], starts) > 0)
     if not some.any():
         return
@@ -246,11 +231,7 @@ def _step(x: np.ndarray, full: np.ndarray, order: np.ndarray | None, starts: np.
         seen = np.bincount(group * BRANCH + d, lr, n * BRANCH).astype(np.float32).reshape(-1, BRANCH)
         expected = _sums(y, starts[g:last] - s, sizes[g:last])
         own = np.arange(0, len(at) * BRANCH, BRANCH) + d
-        gradient, curvature = seen - expected, (seen + expected) / 2 + prior
-        change = (gradient / curvature).take(group, axis=0)
-        change += full.take(at, axis=0)
-        full[at] = change
-        gradient, curvature = gradient.take(group, axis=0), curvature.take(group, axis=0)
+        gradient, curvature = (seen - expected).take(group, axis=0), ((seen + expected) / 2 + prior).take(group, axis=0)
         gradient += y
         gradient.ravel()[own] -= lr
         y *= 0.5
@@ -268,20 +249,29 @@ _ONES = np.ones(BRANCH, np.float32)
 class Model:
     """Counts of the head, leaves of all tokens, and how contexts are dealt; the weights live in the blocks."""
 
-    def __init__(self, keys, counts, n: int, v: int, cells: np.ndarray, blocks: int = 1, sweeps: int = 1, prior: float = 0.3):
+    def __init__(self, keys, counts, n: int, v: int, cells, blocks: int = 1, sweeps: int = 1, prior: float = 0.3):
         """keys and counts: the head, by falling count; n tokens, v distinct ones in training; cells: masses of the tail's leaves."""
+        self.given = keys, counts, n, v, cells, blocks, sweeps, prior
         self.lookup, self.counts, self.n, self.v = Lookup(keys), np.asarray(counts, float), n, v
         self.total = n + 0.1 * (v + 1)
         self.head, self.cell_bits = len(keys), int(len(cells) - 1).bit_length()
         self.cells = np.array(cells, float)
         lost = np.flatnonzero(~self.lookup.found)  # the few that the table can't hold count as tail
         np.add.at(self.cells, self.cell(keys[lost] >> _U(64 - TAIL)), self.counts[lost] + 0.1)
-        mass = np.append(self.counts + 0.1, self.cells)
-        mass[lost] = 0.1 / max(self.total, 1)
-        self.tree, self.built = Tree(mass), False
+        self.lost, self.tree = lost, None
         self.blocks, self.sweeps, self.prior = blocks, sweeps, prior
         self.hot = int(np.searchsorted(-self.counts, -n / (2 * blocks), "left")) if blocks > 1 else 0
 
+    def __reduce__(self):
+        return Model, self.given  # tables are made where they are used
+
+    def leaves(self) -> Tree:
+        if self.tree is None:
+            mass = np.append(self.counts + 0.1, self.cells)
+            mass[self.lost] = 0.1  # never asked for
+            self.tree = Tree(mass)
+        return self.tree
+
     def cell(self, name: np.ndarray) -> np.ndarray:
         return (name.astype(np.uint64) >> _U(TAIL - self.cell_bits)).astype(np.int64)
 
@@ -315,11 +305,8 @@ class Model:
         return (key % _U(self.blocks)).astype(np.int64)
 
     def learn_and_score(self, a, b, c, w, learn) -> np.ndarray:
-        """log10 probability of each token's leaf; weights are learned from the occurrences marked ``learn``."""
-        if not self.built:
-            self.tree.build()
-            self.built = True
-        n, tree = len(a), self.tree
+        """log10 probability of each token's leaf; rows are learned from the occurrences marked ``learn``, each left out of its own."""
+        n, tree = len(a), self.leaves()
         low = _bits(n)
         k = (a.astype(np.uint64) << _U(39)) | (W.mix(b.astype(np.uint64)) >> _U(25 + low) << _U(low)) | np.arange(n, dtype=np.uint64)
         k.sort()
@@ -344,13 +331,13 @@ class Model:
                 at, on = at[o], on[o]
             d, lr = digit[leaf[at]].astype(np.int64), learn[at]
             x = bias.take(on, axis=0)
-            full = x.copy()
-            groups = [(None, _first(on, a[at])), _grouped(on, bits, second[at]), (None, _first(on, two[at])), _grouped(on, bits, third[at])]
             for _ in range(self.sweeps):
-                for o, starts in groups:
-                    _step(x, full, o, starts, d, lr, self.prior)
-            for s in range(0, len(full), ROWS):
-                y = full[s : s + ROWS]
+                _step(x, None, _first(on, a[at]), d, lr, self.prior)
+                _step(x, *_grouped(on, bits, second[at]), d, lr, self.prior)
+                _step(x, None, _first(on, two[at]), d, lr, self.prior)
+                _step(x, *_grouped(on, bits, third[at]), d, lr, self.prior)
+            for s in range(0, len(x), ROWS):
+                y = x[s : s + ROWS]
                 out[at[s : s + ROWS]] += y[np.arange(len(y)), d[s : s + ROWS]] - np.log(np.exp(y) @ _ONES)
         back = np.empty(n)
         back[order] = out / np.log(10)
@@ -391,33 +378,33 @@ def _deal(shared):
 
         def flush():
             rid = int(held[0][0]["_rid"][0].as_py())
-            ids, bags, firsts, learn = [], [], [0], []
-            for _, h_ids, bag, counts, lr in held:
-                ids.append(h_ids)
-                bags.append(bag)
-                firsts.append(counts)
-                learn.append(lr)
-            counts = np.concatenate(firsts[1:])
+            w, bags, counts, learn = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
             first = np.concatenate([[0], np.cumsum(counts)])
-            w = np.concatenate(ids)
-            row = np.repeat(np.arange(len(counts)), counts)
+            row = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
             a, b, c = m.history(w, first)
-            block = m.block(a, b, c, np.concatenate(bags)[row])
+            block = np.concatenate([m.block(a[s : s + STEP], b[s : s + STEP], c[s : s + STEP], bags[row[s : s + STEP]]) for s in range(0, len(w), STEP)])
             if len(w) < 1 << 22 and m.blocks <= 1 << 22:
-                k = (block.astype(np.uint64) << _U(42)) | (np.minimum(a, (1 << 20) - 1).astype(np.uint64) << _U(22)) | np.arange(len(w), dtype=np.uint64)
+                k = block.astype(np.uint64) << _U(42)
+                k |= np.minimum(a, (1 << 20) - 1).astype(np.uint64) << _U(22)
+                k |= np.arange(len(w), dtype=np.uint64)
                 k.sort()
-                order = (k & _U((1 << 22) - 1)).astype(np.int64)
+                order = (k & _U((1 << 22) - 1)).astype(np.int32)
+                del k
             else:
                 order = np.lexsort((a, block))
+            row = 2 * row + learn.astype(np.uint32)[row]
+            planes = np.empty((20, len(w)), np.uint8)
+            for i, x in enumerate((a, b, c, w, row)):
+                planes[4 * i : 4 * i + 4] = _planes(x[order])
             block = block[order]
-            planes = _planes(a[order], b[order], c[order], w[order], (2 * row + np.concatenate(learn)[row])[order])
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            del a, b, c, w, row, order
+            cut = _first(block)
+            ends = np.append(cut[1:], len(block))
             sink = pa.BufferOutputStream()
             own = pa.Table.from_batches([x[0] for x in held])
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(own)
             yield pa.RecordBatch.from_pylist([{"block": -1 - rid % m.blocks, "p": rid, "n": -1, "blob": sink.getvalue().to_pybytes()}], schema=_DEALT)
-            ends = np.append(cut[1:], len(block))
             for i in range(0, len(cut), 64):
                 rows = [(int(block[s]), rid, int(e - s), _squeeze(planes[:, s:e].tobytes())) for s, e in zip(cut[i : i + 64], ends[i : i + 64], strict=True)]
                 yield _table(rows, _DEALT).to_batches()[0]
@@ -470,8 +457,8 @@ def _work(shared):
         rows, s, block = [], 0, t["block"][0].as_py()
         for p, k in zip(t["p"].to_pylist(), n, strict=True):
             i, at = np.unique(doc[s : s + k] >> 1, return_inverse=True)
-            total = np.bincount(at, lp[s : s + k]).astype(np.float32)
-            rows.append((block, p, len(i), _squeeze(_planes(i, total.view(np.uint32)).tobytes())))
+            total = np.rint(np.bincount(at, lp[s : s + k]) * -FINE).astype(np.uint32)
+            rows.append((block, p, len(i), _squeeze(_planes(i, total).tobytes())))
             s += k
         return _table(rows, _DEALT)
 
@@ -487,7 +474,7 @@ def _gather(t: pa.Table) -> pa.Table:
     for blob, k in zip(t["blob"], n, strict=True):
         if k > 0:
             i, x = _columns(blob.as_buffer(), k, 2)
-            total[i] += x.view(np.float32)
+            total[i] -= x / FINE
     at = own.schema.get_field_index("score")
     return own.set_column(at, "score", pa.array(total)).drop_columns(["_rid"])
 

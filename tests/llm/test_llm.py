@@ -167,7 +167,7 @@ def test_lm_blocks_agree_with_direct_scoring(docs, monkeypatch):
     assert max(abs(total[i] - got[d]) / max(1, abs(total[i])) for i, (d, _) in enumerate(rows)) < 1e-3
     same = {}
     for d, t in rows:
-        assert same.setdefault(t or "", got[d]) == pytest.approx(got[d], rel=1e-4)
+        assert same.setdefault((t or "", d % 10 != 0), got[d]) == pytest.approx(got[d], rel=1e-3)
 
 
 def lm_model(n=40, cells=(0.1,), **options):
@@ -210,22 +210,26 @@ def test_lm_learns_from_each_token_back(back):
         assert same > other + 1
 
 
-def test_lm_trains_without_the_occurrence_itself():
-    """Texts are scored with the same rows, learned from or not; the logits that training goes by leave the occurrence out."""
+def test_lm_leaves_an_occurrence_out_of_its_own_rows():
+    """What is seen once scores as if it were not learned from; what is seen twice does not."""
     m = lm_model(1000)
     r = np.random.default_rng(4)
     x = r.integers(0, 1000, (300, 4)).astype(np.uint32)
     once = np.array([[7, 5, 3, 901]], np.uint32)
-    y = np.concatenate([x, once, once])
-    p = m.learn_and_score(y[:, 2], y[:, 1], y[:, 0], y[:, 3], np.r_[np.ones(301), 0].astype(np.float32))
-    assert p[300] == pytest.approx(p[301], abs=1e-4) and p[300] > -2
-    z, full = np.zeros((5, lm.BRANCH), np.float32), np.zeros((5, lm.BRANCH), np.float32)
-    # a group of one, and one of three of which two are learned from
-    lm._step(z, full, None, np.array([0, 1, 4]), np.array([2, 5, 5, 5, 7]), np.array([1, 1, 1, 0, 0], np.float32), 0.3)
-    assert (z[0] == 0).all() and full[0, 2] > 1 and (z[4] == 0).all() and (full[4] == 0).all()
-    assert z[1, 5] == pytest.approx(full[0, 2]) and z[3] == pytest.approx(full[3]) and full[1] == pytest.approx(full[3])
-    o, e = 2, 2 / lm.BRANCH
-    assert full[3, 5] == pytest.approx((o - e) / ((o + e) / 2 + 0.3), rel=1e-5)
+
+    def score(y, learn):
+        return m.learn_and_score(y[:, 2], y[:, 1], y[:, 0], y[:, 3], learn.astype(np.float32))
+
+    y = np.concatenate([x, once])
+    a, b = score(y, np.ones(301))[-1], score(y, np.r_[np.ones(300), 0])[-1]
+    assert a == pytest.approx(b, abs=1e-4)
+    assert score(np.concatenate([x, once, once]), np.ones(302))[-1] > a + 1
+    z = np.zeros((5, lm.BRANCH), np.float32)
+    # a group of one, one of three of which two are learned from, and one that is not
+    lm._step(z, None, np.array([0, 1, 4]), np.array([2, 5, 5, 5, 7]), np.array([1, 1, 1, 0, 0], np.float32), 0.3)
+    assert (z[0] == 0).all() and (z[4] == 0).all()
+    step = lambda n: (n - n / lm.BRANCH) / ((n + n / lm.BRANCH) / 2 + 0.3)
+    assert z[1:4, 5] == pytest.approx([step(1), step(1), step(2)], rel=1e-5)
 
 
 def test_lm_rows_grow_and_hot_contexts_are_dealt():
