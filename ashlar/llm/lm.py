@@ -22,7 +22,7 @@ learned from score like others. (Equal texts therefore score equally where both
 Hot previous tokens are dealt further by the token before, then by the third back, then by the text, so no key holds
 more than half of a block's mean share, but for one text that repeats three hot tokens throughout.
 
-Between tasks move packs: the occurrences of about 2**21 tokens for one block, as compressed byte planes, and back their
+Between tasks move packs: the occurrences of about 2**20 tokens for one block, as compressed byte planes, and back their
 summed scores a text. Counts reach tokens in two ways: the head by a broadcast table of bounded size, the others by a
 join; both are exact (up to 64-bit hashes of tokens).
 
@@ -44,7 +44,7 @@ from ashlar.llm.store import staged
 BITS, DIGITS = 4, 15
 BRANCH = 1 << BITS
 #: tokens dealt at once by a task, bytes of text a block has on average, rows of weights handled at once
-FLUSH, BLOCK_BYTES, ROWS, STEP = 1 << 21, 1 << 23, 1 << 13, 1 << 18
+FLUSH, BLOCK_BYTES, ROWS, STEP = 1 << 20, 1 << 22, 1 << 14, 1 << 18
 #: parts of a power of ten that sums of scores are rounded to on their way back
 FINE = 1 << 14
 #: bits of a tail token's hash that name it in histories; the first of them choose its leaf
@@ -134,7 +134,7 @@ class Lookup:
 class Tree:
     """Nested classes of leaves by their masses: a leaf's path is its place in the falling order of mass, in base 16.
 
-    Per level: each leaf's node (-1 below its end) and digit, and each node's log shares.
+    Per level: each leaf's node and digit in one number (-1 below its end), and each node's log shares.
     """
 
     def __init__(self, mass: np.ndarray):
@@ -144,21 +144,22 @@ class Tree:
         code = ((end - m) / end[-1] * 2.0 ** (BITS * DIGITS)).astype(np.uint64)
         gap = np.concatenate([[_U(1) << _U(63)], code[1:] ^ code[:-1], [_U(1) << _U(63)]])
         near = np.minimum(gap[1:], gap[:-1])  # the nearer neighbour shares more digits
-        self.node, self.digit, self.bias = [], [], []
+        self.at, self.bias = [], []
         for level in range(DIGITS):
-            on = np.flatnonzero((near >> _U(BITS * (DIGITS - level))) == 0)
+            on = np.flatnonzero((near >> _U(BITS * (DIGITS - level))) == 0).astype(np.int32)
             if not len(on):
                 break
-            prefix = code[on] >> _U(BITS * (DIGITS - level))
-            at = np.cumsum(np.concatenate([[False], prefix[1:] != prefix[:-1]]))
-            d = ((code[on] >> _U(BITS * (DIGITS - level - 1))) & _U(BRANCH - 1)).astype(np.int64)
-            share = np.bincount(at * BRANCH + d, m[on], (at[-1] + 1) * BRANCH).reshape(-1, BRANCH)
+            c = code[on]
+            prefix = c >> _U(BITS * (DIGITS - level))
+            at = np.cumsum(np.concatenate([[False], prefix[1:] != prefix[:-1]]), dtype=np.int32)
+            at *= BRANCH
+            at += ((c >> _U(BITS * (DIGITS - level - 1))) & _U(BRANCH - 1)).astype(np.int32)
+            share = np.bincount(at, m[on], (at[-1] // BRANCH + 1) * BRANCH).reshape(-1, BRANCH)
             with np.errstate(divide="ignore"):
                 self.bias.append(np.maximum(np.log(share / share.sum(1, keepdims=True)), -60).astype(np.float32))
-            node, digit = np.full(len(m), -1, np.int32), np.zeros(len(m), np.uint8)
-            node[order[on]], digit[order[on]] = at, d
-            self.node.append(node)
-            self.digit.append(digit)
+            where = np.full(len(m), -1, np.int32)
+            where[order[on]] = at
+            self.at.append(where)
 
 
 def _bits(n: int) -> int:
@@ -172,7 +173,7 @@ def _grouped(node: np.ndarray, bits: int, h: np.ndarray):
     if bits:
         k |= node.astype(np.uint64) << _U(64 - bits)
     k.sort()
-    order = (k & _U((1 << low) - 1)).astype(np.int64)
+    order = (k & _U((1 << low) - 1)).astype(np.int32)
     k >>= _U(low)
     return order, _first(k)
 
@@ -189,7 +190,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 def _sums(y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of groups of rows; small groups, which are most, all at once."""
     out = np.empty((len(starts), y.shape[1]), np.float32)
-    for size in range(2, 7):
+    for size in range(1, 7):
         at = np.flatnonzero(sizes == size)
         if len(at):
             s = starts[at]
@@ -205,45 +206,49 @@ def _sums(y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _step(x: np.ndarray, order: np.ndarray | None, starts: np.ndarray, digit: np.ndarray, learn: np.ndarray, prior: float) -> None:
-    """One gradient step of every group's row, added to the logits ``x`` of its occurrences.
+    """One gradient step of every group's row, added to the logits ``x`` of its occurrences (in ``order``, if given).
 
     The gradient is observed less expected counts; the curvature of a class is estimated by their mean. A training
-    occurrence is left out of the row that is added to it, so a group's only one changes nothing.
+    occurrence is left out of the gradient of the row that is added to it, so a group's only one changes nothing.
     """
     sizes = np.diff(np.append(starts, len(x)))
     some = (sizes > 1) & (np.add.reduceat(learn if order is None else learn[order], starts) > 0)
-    if not some.any():
+    held = int(sizes[some].sum())
+    if not held:
         return
-    rows = np.flatnonzero(np.repeat(some, sizes))
-    sizes = sizes[some]
-    rows = rows if order is None else order[rows]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    if order is None and held > 0.6 * len(x):  # in place; what changes nothing comes along
+        rows, starts = None, np.append(starts, len(x))
+    else:
+        rows = np.flatnonzero(np.repeat(some, sizes))
+        sizes = sizes[some]
+        rows = rows if order is None else order[rows]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
     g = 0
     while g < len(sizes):
         last = max(g + 1, int(np.searchsorted(starts, starts[g] + ROWS, "right")) - 1)
         s, e, n = starts[g], starts[last], last - g
-        at = rows[s:e]
-        z = x.take(at, axis=0)
-        lr = learn[at]
+        at = slice(s, e) if rows is None else rows[s:e]
+        z = x[at] if rows is None else x.take(at, axis=0)
+        lr, d = learn[at], digit[at]
         y = np.exp(z)
         y *= (lr / (y @ _ONES))[:, None]
-        group, d = np.repeat(np.arange(n), sizes[g:last]), digit[at]
+        group = np.repeat(np.arange(n), sizes[g:last])
         seen = np.bincount(group * BRANCH + d, lr, n * BRANCH).astype(np.float32).reshape(-1, BRANCH)
         expected = _sums(y, starts[g:last] - s, sizes[g:last])
-        own = np.arange(0, len(at) * BRANCH, BRANCH) + d
-        gradient, curvature = (seen - expected).take(group, axis=0), ((seen + expected) / 2 + prior).take(group, axis=0)
-        gradient += y
-        gradient.ravel()[own] -= lr
-        y *= 0.5
-        curvature -= y
-        curvature.ravel()[own] -= lr / 2
-        gradient /= curvature
-        z += gradient
-        x[at] = z
+        scale = 1 / ((seen + expected) / 2 + prior)
+        y.ravel()[np.arange(0, (e - s) * BRANCH, BRANCH) + d] -= lr
+        y *= scale.take(group, axis=0)
+        seen -= expected
+        seen *= scale
+        y += seen.take(group, axis=0)
+        z += y
+        if rows is not None:  # whole rows as single items move faster
+            x.view(_ROW).ravel()[at] = z.view(_ROW).ravel()
         g = last
 
 
 _ONES = np.ones(BRANCH, np.float32)
+_ROW = np.dtype(f"V{4 * BRANCH}")
 
 
 class Model:
@@ -252,13 +257,14 @@ class Model:
     def __init__(self, keys, counts, n: int, v: int, cells, blocks: int = 1, sweeps: int = 1, prior: float = 0.3):
         """keys and counts: the head, by falling count; n tokens, v distinct ones in training; cells: masses of the tail's leaves."""
         self.given = keys, counts, n, v, cells, blocks, sweeps, prior
-        self.lookup, self.counts, self.n, self.v = Lookup(keys), np.asarray(counts, float), n, v
+        self.keys, self.counts, self.n, self.v = keys, np.asarray(counts, float), n, v
         self.total = n + 0.1 * (v + 1)
         self.head, self.cell_bits = len(keys), int(len(cells) - 1).bit_length()
         self.cells = np.array(cells, float)
-        lost = np.flatnonzero(~self.lookup.found)  # the few that the table can't hold count as tail
-        np.add.at(self.cells, self.cell(keys[lost] >> _U(64 - TAIL)), self.counts[lost] + 0.1)
-        self.lost, self.tree = lost, None
+        self.lookup = Lookup(keys)
+        self.lost = np.flatnonzero(~self.lookup.found)  # the few that the table can't hold count as tail
+        np.add.at(self.cells, self.cell(keys[self.lost] >> _U(64 - TAIL)), self.counts[self.lost] + 0.1)
+        self.tree = None
         self.blocks, self.sweeps, self.prior = blocks, sweeps, prior
         self.hot = int(np.searchsorted(-self.counts, -n / (2 * blocks), "left")) if blocks > 1 else 0
 
@@ -270,8 +276,15 @@ class Model:
             mass = np.append(self.counts + 0.1, self.cells)
             mass[self.lost] = 0.1  # never asked for
             self.tree = Tree(mass)
+            self.lookup = None  # a worker that learns asks for no more tokens
         return self.tree
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of the head's tokens, -1 for others."""
+        if self.lookup is None:
+            self.lookup = Lookup(self.keys)
+        return self.lookup(h)
+
     def cell(self, name: np.ndarray) -> np.ndarray:
         return (name.astype(np.uint64) >> _U(TAIL - self.cell_bits)).astype(np.int64)
 
@@ -310,32 +323,33 @@ class Model:
         low = _bits(n)
         k = (a.astype(np.uint64) << _U(39)) | (W.mix(b.astype(np.uint64)) >> _U(25 + low) << _U(low)) | np.arange(n, dtype=np.uint64)
         k.sort()
-        order = (k & _U((1 << low) - 1)).astype(np.int64)  # by previous token and the one before it
-        a, b, c, learn = a[order], b[order], c[order], learn[order].astype(np.float32)
-        two = k >> _U(low)
-        name = w[order].astype(np.int64)
-        leaf = np.where(name < self.head, name, self.head + self.cell(np.maximum(name - self.head, 0)))
-        b, c = b.astype(np.uint64), c.astype(np.uint64)
+        order = (k & _U((1 << low) - 1)).astype(np.int32)  # by previous token and the one before it
+        two = np.cumsum(np.concatenate([[False], (k[1:] >> _U(low)) != (k[:-1] >> _U(low))]), dtype=np.int32)
+        a, b, c = a[order], b[order].astype(np.uint64), c[order].astype(np.uint64)
         second, third = W.mix(b + _U(2 << 40)), W.combine(a.astype(np.uint64), c)
-        out, at = np.zeros(n), np.arange(n)
-        for node, digit, bias in zip(tree.node, tree.digit, tree.bias, strict=True):
-            on = node[leaf[at]]
-            at, on = at[on >= 0], on[on >= 0]
-            if not len(at):
-                break
+        del k, b, c
+        name = w[order].astype(np.int32)
+        leaf = np.where(name < self.head, name, self.head + self.cell(np.maximum(name - self.head, 0)).astype(np.int32)).astype(np.int32)
+        out, at, learn = np.zeros(n), np.arange(n, dtype=np.int32), learn[order].astype(np.float32)
+        for where, bias in zip(tree.at, tree.bias, strict=True):
+            on = where[leaf]
             bits = int(len(bias) - 1).bit_length()
-            if bits:
-                k = (on.astype(np.uint64) << _U(32)) | np.arange(len(on), dtype=np.uint64)
+            if bits or on.min() < 0:  # by node, and as before within one; ended paths go
+                k = ((on >> BITS).astype(np.uint64) << _U(32)) | np.arange(len(on), dtype=np.uint64)
+                k = k[on >= 0]
+                if not len(k):
+                    break
                 k.sort()
-                o = (k & _U((1 << 32) - 1)).astype(np.int64)
-                at, on = at[o], on[o]
-            d, lr = digit[leaf[at]].astype(np.int64), learn[at]
-            x = bias.take(on, axis=0)
+                o = (k & _U((1 << 32) - 1)).astype(np.int32)
+                at, leaf, on, a, two, second, third, learn = (v[o] for v in (at, leaf, on, a, two, second, third, learn))
+                del k, o
+            node, d = on >> BITS, on & (BRANCH - 1)
+            x = bias.take(node, axis=0)
             for _ in range(self.sweeps):
-                _step(x, None, _first(on, a[at]), d, lr, self.prior)
-                _step(x, *_grouped(on, bits, second[at]), d, lr, self.prior)
-                _step(x, None, _first(on, two[at]), d, lr, self.prior)
-                _step(x, *_grouped(on, bits, third[at]), d, lr, self.prior)
+                _step(x, None, _first(node, a), d, learn, self.prior)
+                _step(x, *_grouped(node, bits, second), d, learn, self.prior)
+                _step(x, None, _first(node, two), d, learn, self.prior)
+                _step(x, *_grouped(node, bits, third), d, learn, self.prior)
             for s in range(0, len(x), ROWS):
                 y = x[s : s + ROWS]
                 out[at[s : s + ROWS]] += y[np.arange(len(y)), d[s : s + ROWS]] - np.log(np.exp(y) @ _ONES)
@@ -414,7 +428,7 @@ def _deal(shared):
             learn = W.column(batch, "_learn").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in W.chunks(off):
                 h, first = tokens(*W.slice_rows(data, off, lo, hi))
-                i = m.lookup(h)
+                i = m.find(h)
                 seen = i >= 0
                 n = np.diff(first)
                 row = np.repeat(np.arange(hi - lo), n)
@@ -521,7 +535,7 @@ def score(docs: DataFrame, learn: Column | None = None, text: str = "text", carr
     schema = StructType([*rows.select("_c").schema.fields, *StructType.fromDDL("n_tokens long, known long, base double, score double, tail array<long>").fields])
     worked = dealt.groupBy("block").applyInArrow(_work(shared), _SQL_DEALT)
     first = staged(worked.groupBy("p").applyInArrow(_gather, schema).withColumn("_rid", F.monotonically_increasing_id()), "scored")
-    missing = not model.lookup.found.all()
+    missing = len(model.lost) > 0
     floor = float(model.counts.min()) if len(model.counts) else float("inf")
     tail = counts if missing else counts.filter(F.col("n") < floor)
     c = first.filter("size(tail) > 0").select("_rid", F.explode("tail").alias("h")).join(tail, "h", "left").select("_rid", F.coalesce("n", F.lit(0)).alias("n"))
