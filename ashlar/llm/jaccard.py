@@ -237,6 +237,25 @@ def _members(shared):
     return run
 
 
+def _spread(rows: DataFrame, table: DataFrame, key: str, size: str, most: int = 256) -> DataFrame:
+    """``rows`` left joined to the one row of ``table`` per key, whose column ``size`` says how many rows have it.
+
+    Keys of more rows than a thousandth of all (at least ``most``), at most a thousand, are sent to all; their rows and
+    those without a key are dealt by chance, so no task gets all rows of a key.
+    """
+    n = table.agg(F.sum(size)).first()[0] or 0
+    hot = table.filter(F.col(size) > max(most, n // 1000))
+    cold = table.filter(F.col(size) <= max(most, n // 1000))
+    rest = [c for c in table.columns if c not in rows.columns]
+    a = F.broadcast(hot.select(F.col(key).alias("_hot"), *[F.col(c).alias("_" + c) for c in rest]))
+    b = cold.select(F.col(key).alias("_cold"), F.lit(0).alias("_deal"), *rest)
+    r = rows.join(a, F.col(key) == F.col("_hot"), "left")
+    away = F.col("_hot").isNotNull() | F.col(key).isNull()
+    r = r.withColumn("_own", F.when(away, F.xxhash64(*rows.columns, F.monotonically_increasing_id())).otherwise(F.col(key))).withColumn("_is", away.cast("int"))
+    r = r.join(b, (F.col("_own") == F.col("_cold")) & (F.col("_is") == F.col("_deal")), "left")
+    return r.select(*rows.columns, *[F.coalesce(c, "_" + c).alias(c) for c in rest])
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t: int = 80, verify_cost: float = 8.0) -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs``; two rows link when t% of their union is common."""
     spark = docs.sparkSession
@@ -311,9 +330,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
                 labels = _relabel(labels, links)
             release(spark)
 
-    own = sigs.select("_c", "n", "e").join(labels, "e", "left").select("_c", "n", F.coalesce("c", "e").alias("c"))
-    first = own.filter("c is not null").groupBy("c").agg(F.min("_c.k").alias("component_id"))
-    return own.join(first, "c", "left").select(F.col("_c.k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_c.k")).alias("component_id"))
+    # names go to entities first: a row per entity meets its component, and only then rows meet their entity
+    per = sigs.filter("e is not null").groupBy("e").agg(F.min("_c.k").alias("least"), F.count(F.lit(1)).alias("rows"))
+    per = per.join(labels, "e", "left").select("e", "least", "rows", F.coalesce("c", "e").alias("c"))
+    total = per.groupBy("c").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    names = staged(_spread(per, total, "c", "members").select("e", "rows", "component_id"), "names")
+    out = _spread(sigs.select("_c", "n", "e"), names, "e", "rows")
+    return out.select(F.col("_c.k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_c.k")).alias("component_id"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

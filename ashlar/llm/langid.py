@@ -5,12 +5,12 @@ of character n-grams of which the model knows one, down to single characters, an
 score per language is the sum over its words; the softmax over languages is its probability.
 
 Training counts words and n-grams over a bounded sample of labelled rows: at most ``per_lang`` rows a language in
-expectation, chosen by a hash of the text. The counting is distributed; the ``top_words`` words and ``top_grams``
+expectation, chosen by a hash of the text and, if given, a ``key``, so that copies enter one by one. The counting is distributed; the ``top_words`` words and ``top_grams``
 n-grams of each order a language keeps are what reaches the driver, and so bound the model.
 
 Cases: a null text or one without a letter has language ``und`` and score 0.0; a text whose letters the model has never
 seen takes the first language in alphabetical order at probability 1/L. Very long texts are scored whole. Rows with a
-null or empty language don't train; repeated rows count repeatedly. Without any labelled row every text is ``und``.
+null language don't train; repeated rows count repeatedly. Without any labelled row every text is ``und``.
 """
 
 from __future__ import annotations
@@ -120,14 +120,14 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 4000, top_words: int = 40_000, top_grams: int = 20_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str | None = None, per_lang: int = 4000, top_words: int = 40_000, top_grams: int = 20_000) -> Model:
     """Fit on the rows of ``docs`` that have a language; see the module's text for the bounds."""
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null and l != '' and t is not null")
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(text, *([key] if key else [])).alias("_h")).filter("l is not null and t is not null")
     share = rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("p"))
     share = staged(share, "language-shares")
     if share.count() <= 10_000:  # a row per language: known to be small before it is sent to all, so that texts stay where they are
         share = F.broadcast(share)
-    picked = rows.join(share, "l").filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("p") * (1 << 30)).select("l", "t")
+    picked = rows.join(share, "l").filter(F.pmod(F.col("_h"), F.lit(1 << 30)) < F.col("p") * (1 << 30)).select("l", "t")
     counts = picked.mapInArrow(_count("l", "t"), "lang string, ord int, h long, n long").groupBy("lang", "ord", "h").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "h"))
     kept = counts.withColumn("r", rank).filter(F.col("r") <= F.when(F.col("ord") == 0, top_words).otherwise(top_grams)).drop("r").toPandas()
@@ -184,6 +184,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op1(docs: DataFrame) -> DataFrame:
     """The query's digest: doc_id, held_out, lang_pred, score."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
-    model = fit(docs.filter(~held))
+    model = fit(docs.filter(~held), key="doc_id")
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

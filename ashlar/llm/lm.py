@@ -43,8 +43,8 @@ from ashlar.llm.store import staged
 
 BITS, DIGITS = 4, 15
 BRANCH = 1 << BITS
-#: tokens dealt at once by a task, bytes of text a block has on average, rows of weights handled at once
-FLUSH, BLOCK_BYTES, ROWS, STEP = 1 << 20, 1 << 22, 1 << 14, 1 << 18
+#: tokens dealt at once by a task, bytes of text split into words at once, bytes of text a block has on average, rows of weights handled at once
+FLUSH, PIECE, BLOCK_BYTES, ROWS, STEP = 1 << 20, 1 << 19, 1 << 22, 1 << 14, 1 << 18
 #: parts of a power of ten that sums of scores are rounded to on their way back
 FINE = 1 << 14
 #: bits of a tail token's hash that name it in histories; the first of them choose its leaf
@@ -82,7 +82,7 @@ def _count(batches):
     held = 0
     for batch in batches:
         data, off = W.buffers(batch.column(0))
-        for lo, hi in W.chunks(off):
+        for lo, hi in W.chunks(off, PIECE):
             u, n = np.unique(tokens(*W.slice_rows(data, off, lo, hi))[0], return_counts=True)
             hs.append(u)
             ns.append(n)
@@ -256,8 +256,9 @@ class Model:
 
     def __init__(self, keys, counts, n: int, v: int, cells, blocks: int = 1, sweeps: int = 1, prior: float = 0.3):
         """keys and counts: the head, by falling count; n tokens, v distinct ones in training; cells: masses of the tail's leaves."""
+        counts = np.asarray(counts, float)
         self.given = keys, counts, n, v, cells, blocks, sweeps, prior
-        self.keys, self.counts, self.n, self.v = keys, np.asarray(counts, float), n, v
+        self.keys, self.counts, self.n, self.v = keys, counts, n, v
         self.total = n + 0.1 * (v + 1)
         self.head, self.cell_bits = len(keys), int(len(cells) - 1).bit_length()
         self.cells = np.array(cells, float)
@@ -426,7 +427,7 @@ def _deal(shared):
         for batch in batches:
             data, off = W.buffers(W.column(batch, "_t"))
             learn = W.column(batch, "_learn").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in W.chunks(off):
+            for lo, hi in W.chunks(off, PIECE):
                 h, first = tokens(*W.slice_rows(data, off, lo, hi))
                 i = m.find(h)
                 seen = i >= 0
@@ -493,7 +494,7 @@ def _gather(t: pa.Table) -> pa.Table:
     return own.set_column(at, "score", pa.array(total)).drop_columns(["_rid"])
 
 
-def fit(docs: DataFrame, text: str = "text", head: int = 1 << 20, blocks: int = 1, sweeps: int = 1, prior: float = 0.3) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text: str = "text", head: int = 1 << 19, blocks: int = 1, sweeps: int = 1, prior: float = 0.3) -> tuple[Model, DataFrame]:
     """(model, counts): the vocabulary of ``docs``, its classes, and (h, n) of every token."""
     t = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = staged(t.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
@@ -535,6 +536,7 @@ def score(docs: DataFrame, learn: Column | None = None, text: str = "text", carr
     schema = StructType([*rows.select("_c").schema.fields, *StructType.fromDDL("n_tokens long, known long, base double, score double, tail array<long>").fields])
     worked = dealt.groupBy("block").applyInArrow(_work(shared), _SQL_DEALT)
     first = staged(worked.groupBy("p").applyInArrow(_gather, schema).withColumn("_rid", F.monotonically_increasing_id()), "scored")
+    shared.unpersist()  # the blocks' tables need not outlive them
     missing = len(model.lost) > 0
     floor = float(model.counts.min()) if len(model.counts) else float("inf")
     tail = counts if missing else counts.filter(F.col("n") < floor)

@@ -67,6 +67,8 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: dict[str, dict[str, int]], max_epochs: int, default_weight: int = 1) -> DataFrame:
     """Leaves (levels, n_docs, n_tokens) with ``budget``."""
     down = leaves.withColumn("cap", F.col("n_tokens") * max_epochs)
+    for level in levels:  # what a node without weight holds is no capacity of the nodes above it
+        down = down.filter(_weight(F.col(level), weights.get(level, {}), default_weight) > 0)
     have: DataFrame | None = None
     for i, level in enumerate(levels):
         parent, keys = levels[:i], levels[: i + 1]

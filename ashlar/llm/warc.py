@@ -72,12 +72,19 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         F.coalesce(F.col(payload), F.lit("")).alias("body"),
         F.monotonically_increasing_id().alias("at"),
     ).withColumn("digest", sha1_base32(F.col("body").cast("binary")))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("at").alias("at")))
-    same = p.filter(F.octet_length("body") >= min_bytes).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # the response of a payload is named by its content, so that revisits find it whatever tasks run again; the row's
+    # position only tells rows apart that are equal throughout, and makes the names of all other records unique
+    where = F.xxhash64("id", "url")
+    equal = p.filter(F.octet_length("body") >= min_bytes).groupBy("digest", "id", where.alias("where")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "where", "n", "at"))
+    same = equal.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     p = p.join(same, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.at") != F.col("at")) & (F.octet_length("body") >= min_bytes)
-    own = [_urn(F.lit(k), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("at").cast("string")) for k in ("response", "request", "metadata")]
-    other = _urn(F.lit("response"), F.coalesce(F.col("first.id").cast("string"), F.lit("")), F.col("first.at").cast("string"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (where == F.col("first.where")) & ((F.col("first.n") == 1) | (F.col("at") == F.col("first.at")))
+    revisit = F.col("first").isNotNull() & ~is_first & (F.octet_length("body") >= min_bytes)
+    named = lambda i, w: [F.coalesce(i.cast("string"), F.lit("")), w.cast("string"), F.col("digest")]
+    other = _urn(F.lit("first"), *named(F.col("first.id"), F.col("first.where")))
+    own = [_urn(F.lit(k), *named(F.col("id"), where), F.col("at").cast("string")) for k in ("response", "request", "metadata")]
+    own[0] = F.when(F.col("first").isNotNull() & ~revisit, other).otherwise(own[0])
     common = [_header("WARC-Date", F.lit(date)), _header("WARC-Target-URI", F.col("url"))]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit("\r\n\r\n"))
     answer = _record(

@@ -103,6 +103,12 @@ def test_budgets_redistribute_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 890}
 
 
+def test_budgets_pass_on_what_unweighted_leaves_leave(spark):
+    leaves = spark.createDataFrame([("a", "x", 100, 1), ("a", "y", 100, 1), ("b", "x", 1000, 1)], "d string, l string, n_tokens long, n_docs long")
+    got = {(r["d"], r["l"]): r["budget"] for r in mixing.budgets(leaves, ["d", "l"], F.lit(400).cast("long"), {"l": {"y": 0}}, 1).collect()}
+    assert got == {("a", "x"): 100, ("b", "x"): 300}
+
+
 def test_mix_meets_budgets(docs):
     lv = {"lang": F.col("lang"), "source": F.col("source")}
     out = mixing.mix(docs, lv, share=2.2, max_epochs=3, slice_docs=4).cache()
@@ -214,8 +220,8 @@ def test_lm_leaves_an_occurrence_out_of_its_own_rows():
     """What is seen once scores as if it were not learned from; what is seen twice does not."""
     m = lm_model(1000)
     r = np.random.default_rng(4)
-    x = r.integers(0, 1000, (300, 4)).astype(np.uint32)
-    once = np.array([[7, 5, 3, 901]], np.uint32)
+    x = r.integers(0, 900, (300, 4)).astype(np.uint32)
+    once = np.array([[950, 951, 952, 901]], np.uint32)
 
     def score(y, learn):
         return m.learn_and_score(y[:, 2], y[:, 1], y[:, 0], y[:, 3], learn.astype(np.float32))
@@ -368,6 +374,16 @@ def test_op7_small_sets(spark):
 
 
 # -- 8 SpotSigs
+def spot_print(t):
+    """Word by word: each anchor that starts a run of anchors, with the content words that follow it."""
+    ws = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    anchors, chains = set(spots.ANCHORS), []
+    for i, w in enumerate(ws):
+        if w in anchors and i + 1 < len(ws) and ws[i + 1] not in anchors:
+            chains.append(" ".join([x for x in ws[i + 1 :] if x not in anchors][: spots.CHAIN]))
+    return {zlib.crc32(c.encode()) for c in chains or ([" ".join(ws)] if ws else [])}
+
+
 def test_op8(docs):
     rows = sorted(((d, t or "") for d, t in pairs(docs)), reverse=True)
     got = {r["doc_id"]: r for r in spots.op8(docs).collect()}
@@ -382,6 +398,22 @@ def test_op8(docs):
             assert g["near_next"] == 1.0
     plan = spots.op8(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    for i, (d, t) in enumerate(rows):
+        nxt, g = rows[(i + 1) % len(rows)][1], got[d]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = spot_print(t), spot_print(edited), spot_print(nxt)
+        near = [1.0 if x == y else len(x & y) / len(x | y) for x, y in ((a, b), (a, c))]
+        assert (g["fingerprint"], g["edited_fingerprint"]) == ("".join(f"{v:08x}" for v in sorted(a)), "".join(f"{v:08x}" for v in sorted(b)))
+        assert [g["near_edited"], g["near_next"]] == pytest.approx(near)
+
+
+def test_op8_edges(spark):
+    schema = "doc_id long, text string, next_text string"
+    assert spots.op8(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "the cat sat on the mat", "x"), (3, "the dog", None), (3, "the dog", None), (3, None, "y"), (10**15, "of mice and men", "z"), (-(10**15), "", None)]
+    got = spots.op8(spark.createDataFrame(rows, schema)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and all(0 <= r["near_next"] <= 1 for r in got)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 3}) == 2
 
 
 def test_near_pairs_prune(spark):
@@ -444,9 +476,44 @@ def test_pipeline_stages_take_effect(spark, sf):
     want = {d for d, (n, c) in brute_jaccard(pairs(first)).items() if d == c}
     assert {r[0] for r in second.select("doc_id").collect()} == want
     third = p.staged(p.repeated_passage_stage(spark, second, sf), "t")
+    assert {r["doc_id"]: r["text"] for r in third.collect()} == without_passages({r["doc_id"]: r["text"] for r in second.collect()})
     fourth = p.staged(p.benchmark_stage(spark, third, sf), "t")
     assert third.columns == fourth.columns == docs.columns and fourth.count() <= third.count() <= second.count()
-    assert p.mixture_stage(spark, fourth, sf).join(fourth, "doc_id", "left_anti").count() == 0
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    wins = {tuple(w[a : a + min(10, len(w))]) for (t,) in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() for w in [alnum(t)] for a in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in wins}
+    hit = lambda w: any(tuple(w[a : a + k]) in wins for k in sizes for a in range(len(w) - k + 1))
+    assert {r["doc_id"] for r in fourth.collect()} == {r["doc_id"] for r in third.collect() if not hit(alnum(r["text"]))}
+    c = duckdb.connect()
+    c.register("documents", fourth.toPandas())
+    got = p.mixture_stage(spark, fourth, sf)
+    r = c.execute(queries.mixing.SQL)
+    at = [[d[0] for d in r.description].index(x) for x in got.columns]
+    assert Counter(str(tuple(x)) for x in got.collect()) == Counter(str(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
+def without_passages(texts, length=150, words_least=51, whole=400):
+    """The stage by brute force: starts of strings that occur elsewhere, their runs, and what is cut."""
+    enc = {d: (t or "").encode() for d, t in texts.items()}
+    seen = Counter(b[i : i + length] for b in enc.values() for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in enc.items():
+        gone, starts = bytearray(len(b)), [i for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1]
+        runs = []
+        for i in starts:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+        for i, j in runs:
+            end = j - 1 + length
+            n = sum(m.start() >= i and m.end() <= end for m in re.finditer(rb"[^\x20\x09-\x0D]+", b))
+            if n >= words_least or end - i >= whole:
+                gone[i:end] = b"\1" * (end - i)
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if texts[d] is None or not any(gone) or re.search(r"[^\x20\x09-\x0D]", left):
+            out[d] = texts[d] if texts[d] is None else left
+    return out
 
 
 def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark):
