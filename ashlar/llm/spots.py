@@ -75,13 +75,28 @@ def near_pairs(pairs: DataFrame, a: str, b: str, least: float = 0.8) -> DataFram
 def with_next(docs: DataFrame, key: str, cols: list[str], slice_docs: int = 2048) -> DataFrame:
     """``docs`` with ``next_<col>`` of the document that follows in descending ``key``, the first following the last.
 
-    Keys are cut into slices by value, of about ``slice_docs`` documents if they are spread evenly; every slice gets a
-    copy of the last document of the slice before it, so neighbours meet in one shuffle. Ties follow the hash of the row.
+    Keys are cut into slices of about ``slice_docs`` documents: by up to 256 quantiles, and evenly by value between two of
+    them where more are needed; rows without a key are cut by their hash. Every slice gets a copy of the last document of
+    the slice before it, so neighbours meet in one shuffle. Ties follow the hash of the row.
     """
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * slice_docs // max(n, 1)))
-    d = docs.withColumn("_b", F.coalesce(F.floor((F.col(key) - low) / width), F.lit(-1)).cast("long")).withColumn("_h", F.xxhash64(*cols))
+    k = F.col(key)
+    at = [(i + 1) / 256 for i in range(255)]
+    got = docs.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"), F.count(key).alias("some"), F.percentile_approx(key, at, 20_000).alias("q")).first()
+    n, some = got["n"], got["some"]
+    quantiles = got["q"] or []
+    step = max(1, 256 * slice_docs // max(some, 1))
+    cuts = [got["low"] or 0, *sorted(set(quantiles[step - 1 :: step]) - {got["low"]})]
+    ends = [*cuts[1:], (got["high"] or 0) + 1]
+    parts = max(1, -(-some // (slice_docs * len(cuts))))
+    index = F.lit(0)
+    for i, c in enumerate(cuts[1:], 1):
+        index = index + (k >= F.lit(c)).cast("int")
+    low, width = (F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("_i")) for v in (cuts, [max(e - c, 1) / parts for c, e in zip(cuts, ends, strict=True)]))
+    inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((k.cast("double") - low) / width)))
+    blank = max(1, -(-(n - some) // slice_docs))  # slices of rows without a key, which come first
+    d = docs.withColumn("_h", F.xxhash64(*cols)).withColumn("_i", index)
+    none = F.least(F.lit(blank - 1), F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * blank)) - blank
+    d = d.withColumn("_b", F.when(k.isNull(), none).otherwise(F.col("_i") * parts + inside).cast("long")).drop("_i")
     last = d.groupBy("_b").agg(F.max(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("k"), F.col("_h").alias("h"))).alias("l"))
     w = Window.orderBy("_b")
     nxt = last.select(F.col("_b").alias("_lb"), "l", F.lead("_b").over(w).alias("to"), F.min("_b").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
