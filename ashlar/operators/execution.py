@@ -40,6 +40,12 @@ def collect_with_report(df: DataFrame) -> tuple[list[dict], dict]:
     try:
         rows = [r.asDict(recursive=True) for r in df.collect()]
     finally:
+        seconds = time.perf_counter() - began
         sc.removeJobTag(tag)
     plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return rows, {"seconds": time.perf_counter() - began, "rows": len(rows), "partitions": df.rdd.getNumPartitions(), "plan": plan}
+    # what the job ran, as far as Spark still holds it: stages and their tasks, skipped stages included
+    tracker = sc._jsc.sc().statusTracker()
+    stages = {i for j in tracker.getJobIdsForTag(tag) for info in [tracker.getJobInfo(j)] if info.isDefined() for i in info.get().stageIds()}
+    infos = [tracker.getStageInfo(i) for i in stages]
+    tasks = sum(i.get().numTasks() for i in infos if i.isDefined())
+    return rows, {"seconds": seconds, "rows": len(rows), "stages": len(stages), "tasks": tasks, "plan": plan}

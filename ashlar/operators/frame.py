@@ -7,6 +7,7 @@ given per call) and, with ``by``, work within groups, which keeps them distribut
 
 from __future__ import annotations
 
+import json
 import difflib
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -223,25 +224,45 @@ class Frame:
         return self.with_columns(**{name: A.windowed(kind, F.col(col), w, q)})
 
     def rolling(self, name: str, col: str, window: int, agg: str = "mean", by=None, order=None, q: float = 0.5) -> Frame:
+        """Over the last ``window`` rows; without ``by`` in blocks of rows, so that no task orders everything."""
+        if not _names(by):
+            return self._beside(order, window - 1, 0, lambda w: {name: A.windowed(agg, F.col(col), w.rowsBetween(-(window - 1), 0), q)})
         w = Window.partitionBy(*_names(by)).orderBy(*self._by(order)).rowsBetween(-(window - 1), 0)
         return self.with_columns(**{name: A.windowed(agg, F.col(col), w, q)})
 
     def expanding(self, name: str, col: str, agg: str = "sum", by=None, order=None, q: float = 0.5) -> Frame:
+        """From the first row on. Without ``by``: sum, mean, count, min and max by slices; the others are one ordered sequence."""
+        if not _names(by) and agg in ("sum", "mean", "count", "min", "max"):
+            self._by(order)
+            return self._new(positions.running(self.df, _names(order) or self.order, col, agg, name))
         w = Window.partitionBy(*_names(by)).orderBy(*self._by(order)).rowsBetween(Window.unboundedPreceding, 0)
         return self.with_columns(**{name: A.windowed(agg, F.col(col), w, q)})
 
+    def _beside(self, order, back: int, ahead: int, make) -> Frame:
+        self._by(order)
+        return self._new(positions.beside(self.df, _names(order) or self.order, back, ahead, make))
+
+    def _moved(self, name: str, col: str, periods: int, by, order, make) -> Frame:
+        """``make(value some rows before)`` as a column."""
+        if not _names(by):
+            return self._beside(order, max(periods, 0), max(-periods, 0), lambda w: {name: make(F.lag(col, periods).over(w))})
+        return self.with_columns(**{name: make(F.lag(col, periods).over(self._at(by, order)))})
+
     def _at(self, by, order) -> Window:
         return Window.partitionBy(*_names(by)).orderBy(*self._by(order))
 
     def shift(self, name: str, col: str, periods: int = 1, by=None, order=None) -> Frame:
-        return self.with_columns(**{name: F.lag(col, periods).over(self._at(by, order))})
+        return self._moved(name, col, periods, by, order, lambda before: before)
 
     def diff(self, name: str, col: str, periods: int = 1, by=None, order=None) -> Frame:
-        return self.with_columns(**{name: F.col(col).cast("double") - F.lag(col, periods).over(self._at(by, order)).cast("double")})
+        return self._moved(name, col, periods, by, order, lambda before: F.col(col).cast("double") - before.cast("double"))
 
     def pct_change(self, name: str, col: str, periods: int = 1, by=None, order=None) -> Frame:
-        before = F.lag(col, periods).over(self._at(by, order)).cast("double")
-        return self.with_columns(**{name: (F.col(col).cast("double") - before) / F.when(before != 0, before)})
+        def change(before: Column) -> Column:
+            before = before.cast("double")
+            return (F.col(col).cast("double") - before) / F.when(before != 0, before)
+
+        return self._moved(name, col, periods, by, order, change)
 
     def cumsum(self, name: str, col: str, by=None, order=None) -> Frame:
         """Running sum, null adding nothing; without ``by`` in two phases, so that no task sorts everything."""
@@ -300,7 +321,24 @@ class Frame:
         """Without replacement, of exact size."""
         if n is None:
             n = round(self.df.count() * fraction) if fraction is not None else 10
-        return self._new(self.df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r"))
+        d = self.df.withColumn("_r", F.rand(seed))
+        if n <= 100_000:  # the smallest n keys, found per partition first
+            return self._new(d.orderBy("_r").limit(n).drop("_r"))
+        # a large sample stays where it is: keys below the n-th, whose exact place is settled among the few near it
+        total = self.df.count()
+        if n >= total:
+            return self._new(self.df)
+        spread = 6 * (n**0.5 + 1) / total
+        low, high = n / total - spread, n / total + spread
+        sure = d.filter(F.col("_r") < low).count()
+        edge = d.filter((F.col("_r") >= low) & (F.col("_r") < high)).groupBy(F.floor((F.col("_r") - low) / (high - low) * 4096).alias("c")).count().orderBy("c").collect()
+        cut, at = sure, low
+        for r in edge:
+            if cut + r["count"] > n:
+                break
+            cut, at = cut + r["count"], low + (r["c"] + 1) * (high - low) / 4096
+        rest = d.filter(F.col("_r") >= at).orderBy("_r").limit(n - cut)
+        return self._new(d.filter(F.col("_r") < at).unionByName(rest).drop("_r"))
 
     # -- sets ---------------------------------------------------------------------------------------------------
     @staticmethod
@@ -358,6 +396,9 @@ class Frame:
 
     def _filled(self, f, cols, by, order, span) -> Frame:
         cols = cols or [c for c in self.columns if c not in (_names(order) or self.order) + _names(by)]
+        if not _names(by):
+            self._by(order)
+            return self._new(positions.carried(self.df, _names(order) or self.order, {c: F.col(c) for c in cols}, f is F.last))
         w = self._at(by, order).rowsBetween(*span)
         return self._new(self.df.select(*[f(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in self.columns]))
 
@@ -369,14 +410,23 @@ class Frame:
     def interpolate(self, *cols: str, by=None, order=None) -> Frame:
         """Linear by row position; edges take the nearest value, a column without any is NaN."""
         by = _names(by)
-        w = self._at(by, order)
-        d = self.df.withColumn("_i", F.row_number().over(w))
-        out = {}
-        for c in cols:
+        out, points = {}, {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).cast("double").alias("x"))) for c in cols}
+        if by:
+            w = self._at(by, order)
+            d = self.df.withColumn("_i", F.row_number().over(w))
+        else:
+            self._by(order)
+            keys = _names(order) or self.order
+            d = positions.number(self.df, keys, "_i")
+            d = positions.carried(d, keys, {f"_back{i}": points[c] for i, c in enumerate(cols)}, True)
+            d = positions.carried(d, keys, {f"_ahead{i}": points[c] for i, c in enumerate(cols)}, False)
+        for i, c in enumerate(cols):
             x = F.col(c).cast("double")
-            p = F.when(x.isNotNull(), F.struct(F.col("_i").alias("i"), x.alias("x")))
-            back = F.last(p, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            ahead = F.first(p, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+            if by:
+                back = F.last(points[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                ahead = F.first(points[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+            else:
+                back, ahead = F.col(f"_back{i}"), F.col(f"_ahead{i}")
             line = back["x"] + (ahead["x"] - back["x"]) * (F.col("_i") - back["i"]) / F.when(ahead["i"] != back["i"], ahead["i"] - back["i"])
             out[c] = F.coalesce(x, line, back["x"], ahead["x"], F.lit(float("nan")))
         return self._new(d.select(*[out[c].alias(c) if c in out else F.col(c) for c in self.columns]))
@@ -408,8 +458,10 @@ class Frame:
     def unnest(self, col: str, sep: str = ".", schema: str | StructType | None = None) -> Frame:
         """JSON objects as dotted columns in place of ``col``; the fields are found in a first pass if not given."""
         if schema is None:
-            merged = self.df.filter(F.col(col).isNotNull()).select(F.schema_of_json_agg(col) if hasattr(F, "schema_of_json_agg") else F.col(col))
-            schema = self.df.sparkSession.read.json(merged.rdd.map(lambda r: r[0])).schema
+            spark = self.df.sparkSession
+            texts = self.df.filter(F.col(col).isNotNull()).select(F.col(col).cast("string"))._jdf
+            found = spark._jsparkSession.read().json(getattr(texts, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())).schema()
+            schema = StructType.fromJson(json.loads(found.json()))
         if isinstance(schema, str):
             schema = StructType.fromDDL(schema)
         out: list[Column] = []

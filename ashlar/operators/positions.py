@@ -10,7 +10,7 @@ from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType, TimestampNTZType, TimestampType
 
 
 def boundaries(df: DataFrame, key: str, n: int | None = None) -> list:
@@ -78,6 +78,88 @@ def running_sum(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFra
     return _prefixed(df, keys, F.sum(x), lambda w: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), name, 0.0)
 
 
+def beside(df: DataFrame, keys: list[str], back: int, ahead: int, make) -> DataFrame:
+    """``df`` with the columns that ``make(window)`` gives over up to ``back`` rows before and ``ahead`` rows after each row.
+
+    Rows are numbered, and blocks of positions get copies of the rows next to them, so no task orders more than a block.
+    """
+    width = max(1 << 16, back, ahead)
+    d = number(df, keys, "_row")
+    b, i = F.floor(F.col("_row") / width), F.col("_row") % width
+    at = [F.struct(b.alias("b"), F.lit(True).alias("own"))]
+    if back:
+        at.append(F.when(i >= width - back, F.struct((b + 1).alias("b"), F.lit(False).alias("own"))))
+    if ahead:
+        at.append(F.when(i < ahead, F.struct((b - 1).alias("b"), F.lit(False).alias("own"))))
+    d = d.withColumn("_at", F.explode(F.filter(F.array(*at), lambda c: c.isNotNull())))
+    d = d.withColumn("_b", F.col("_at.b")).withColumn("_own", F.col("_at.own"))
+    made = make(Window.partitionBy("_b").orderBy("_row"))
+    keep = [c for c in df.columns if c not in made]
+    out = d.select(*keep, "_own", *[v.alias(k) for k, v in made.items()]).filter("_own")
+    return out.select(*[c for c in df.columns], *[k for k in made if k not in df.columns])
+
+
+def carried(df: DataFrame, keys: list[str], values: dict[str, Column], forward: bool) -> DataFrame:
+    """``df`` with columns of the last (or next) value that is not null, this row's included, in the order of ``keys``.
+
+    Slices of the order are filled by themselves; what each passes on, one value a column, is added as a literal.
+    """
+    cuts = boundaries(df, keys[0])
+    names = {k: f"_v{i}" for i, k in enumerate(values)}
+    d = df.withColumn("_b", bucket(df, keys[0], cuts)).select("*", *[v.alias(names[k]) for k, v in values.items()])
+    order = F.struct(*[F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k")) for k in keys])
+    pick = F.max_by if forward else F.min_by
+    got = {r["_b"]: r for r in d.groupBy("_b").agg(*[pick(F.col(n), F.when(F.col(n).isNotNull(), order)).alias(n) for n in names.values()]).collect()}  # a row a slice
+    n = len(cuts) + 1
+    pass_on: dict[str, list] = {m: [None] * n for m in names.values()}
+    for m, v in pass_on.items():
+        now = None
+        for b in range(n) if forward else range(n - 1, -1, -1):
+            v[b] = now
+            if b in got and got[b][m] is not None:
+                now = got[b][m]
+    w = Window.partitionBy("_b").orderBy(*_ordered(keys))
+    w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
+    take = F.last if forward else F.first
+    made = {}
+    for k, m in names.items():
+        kind = d.schema[m].dataType
+        table = df.sparkSession.createDataFrame([(b, v) for b, v in enumerate(pass_on[m])], StructType([StructField("_b", IntegerType()), StructField("_p", kind)]))
+        d = d.join(F.broadcast(table.withColumnRenamed("_p", "_p" + m)), "_b", "left")  # a row a slice
+        made[k] = F.coalesce(take(m, ignorenulls=True).over(w), F.col("_p" + m))
+    keep = [c for c in df.columns if c not in made]
+    out = d.select(*keep, *[v.alias(k) for k, v in made.items()])
+    return out.select(*[c for c in df.columns], *[k for k in made if k not in df.columns])
+
+
+def running(df: DataFrame, keys: list[str], col: str, kind: str, name: str) -> DataFrame:
+    """Running sum, mean, count, min or max from slices: each starts from the totals of those before it."""
+    cuts = boundaries(df, keys[0])
+    d = df.withColumn("_b", bucket(df, keys[0], cuts))
+    x = F.col(col) if kind in ("min", "max", "count") else F.col(col).cast("double")
+    sums = {r["_b"]: r for r in d.groupBy("_b").agg(F.sum(F.col(col).cast("double")).alias("s") if kind in ("sum", "mean") else F.lit(None).cast("double").alias("s"), F.count(col).alias("n"), (F.min(x) if kind == "min" else F.max(x)).alias("e")).collect()}
+    rows, s, n, e = [], 0.0, 0, None
+    for b in range(len(cuts) + 1):
+        rows.append((b, s, n, e))
+        if b in sums:
+            r = sums[b]
+            s, n = s + (r["s"] or 0.0), n + r["n"]
+            if r["e"] is not None:
+                e = r["e"] if e is None else min(e, r["e"]) if kind == "min" else max(e, r["e"])
+    kinds = StructType([StructField("_b", IntegerType()), StructField("_s", DoubleType()), StructField("_n", LongType()), StructField("_e", df.schema[col].dataType if kind in ("min", "max") else DoubleType())])
+    d = d.join(F.broadcast(df.sparkSession.createDataFrame([r if kind in ("min", "max") else (*r[:3], None) for r in rows], kinds)), "_b", "left")  # a row a slice
+    w = Window.partitionBy("_b").orderBy(*_ordered(keys)).rowsBetween(Window.unboundedPreceding, 0)
+    count = F.count(col).over(w) + F.col("_n")
+    total = F.coalesce(F.sum(x).over(w), F.lit(0.0)) + F.col("_s") if kind in ("sum", "mean") else None
+    made = {
+        "count": lambda: count, "sum": lambda: F.when(count > 0, total), "mean": lambda: F.when(count > 0, total / count),
+        "min": lambda: F.least(F.min(x).over(w), F.col("_e")), "max": lambda: F.greatest(F.max(x).over(w), F.col("_e")),
+    }[kind]()
+    keep = [c for c in df.columns if c != name]
+    out = d.select(*keep, made.alias(name))
+    return out.select(*df.columns, *([] if name in df.columns else [name]))
+
+
 def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """``df`` with the average rank of ``col`` over the whole frame; ties and hot values are folded before ranking."""
     n = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("_n"))

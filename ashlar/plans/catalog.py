@@ -37,8 +37,6 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
-
 def frame(spark, d, name: str, *order: str) -> Frame:
     return Frame(table(spark, d, name), order)
 
@@ -429,11 +427,11 @@ def concat_vertical(spark, d):
     return Frame.concat([a, frame(spark, d, "customer").select(_c("c_custkey").alias("k"), _c("c_acctbal").alias("v"))]).df
 
 
-@query("concat_horizontal", "SELECT s_suppkey, s_name, c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS i FROM customer WHERE c_custkey < (SELECT count(*) FROM supplier)) USING (i)")
+@query("concat_horizontal", "SELECT c_custkey, c_name, other_key, c_acctbal FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT c_custkey AS other_key, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) USING (i)")
 def concat_horizontal(spark, d):
-    s = frame(spark, d, "supplier", "s_suppkey").select("s_suppkey", "s_name")
-    n = s.df.count()
-    return Frame.concat([s, frame(spark, d, "customer", "c_custkey").select("c_custkey", "c_name").filter(_c("c_custkey") < n)], "horizontal").df
+    c = frame(spark, d, "customer")
+    by_balance = c.select(_c("c_custkey").alias("other_key"), "c_acctbal").with_order("c_acctbal", "other_key")
+    return Frame.concat([c.select("c_custkey", "c_name").with_order("c_custkey"), by_balance], "horizontal").df
 
 
 @query("intersect_except", "(SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL (SELECT -1 - c_custkey FROM customer EXCEPT SELECT -1 - o_custkey FROM orders)")
@@ -636,3 +634,6 @@ def event_windows(spark, d):
 
     w = events.windowed(table(spark, d, "events"), "1 day")
     return w.select(F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+from ashlar.plans import ordered, statistics  # noqa: E402,F401  they register their queries here

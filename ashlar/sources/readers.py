@@ -6,10 +6,12 @@ formats can't be split, are read per file, and in-memory rows come from the driv
 
 from __future__ import annotations
 
+import atexit
 import csv
 import io
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Sequence
 from datetime import date, datetime
@@ -23,7 +25,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, St
 from ashlar.operators.frame import Frame
 from ashlar.sources.policy import allowed
 
-NULLS = ("", "null", "na", "n/a", "nan", "none")
+NULLS = ("", "null", "na", "nan")
 MAX_SAFE = 2**53 - 1
 
 
@@ -167,11 +169,12 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", header: bool
         if header and top:
             names = names or _mangled([("" if x is None or x == _EMPTY else x.strip()) for x in top[-1][: len(raw)]])
             head = top[-1]
-            # every further file of a directory starts with the same header
-            first = F.lit(True)
-            for c in raw:
-                first = first & F.col(c).eqNullSafe(F.lit(head[c]))
-            df = df.filter(~first) if len(gone) == 1 else df
+            if len(gone) == 1:  # further files of a directory start with the same header: it goes where it is a file's first row
+                same = F.lit(True)
+                for c in raw:
+                    same = same & F.col(c).eqNullSafe(F.lit(head[c]))
+                starts = df.groupBy("_f").agg(F.min("_at").alias("_start"))
+                df = df.join(starts, "_f").filter(~(same & (F.col("_at") == F.col("_start")))).drop("_start")
         for f, at in gone:
             df = df.filter(~((F.col("_f") == f) & (F.col("_at") == at)))
         if n_rows is not None:
@@ -187,13 +190,25 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", header: bool
 
 
 def from_csv(spark: SparkSession, text: str, **options) -> Frame:
-    """CSV in memory, through a file in the session's scratch space."""
-    import tempfile
+    """CSV in memory, through a file in the folder that executors share (spark.checkpoint.dir, or the warehouse)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/ashlar-csv-{uuid.uuid4().hex}/in.csv")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    atexit.register(_forget, spark, path.getParent())
+    return read_csv(spark, path.toString(), **options)
+
 
-    d = tempfile.mkdtemp(prefix="ashlar-csv-")
-    with open(f"{d}/in.csv", "w", newline="") as f:
-        f.write(text)
-    return read_csv(spark, f"file://{d}/in.csv", **options)
+def _forget(spark: SparkSession, path) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM has gone at exit; nothing depends on this
+        pass
 
 
 # -- JSON -------------------------------------------------------------------------------------------------------

@@ -124,3 +124,13 @@ def test_streaming(spark, sf, tmp_path):
     assert E.drain(E.sessions(s, "1 hour", late="60 days"), "s_out", "complete").agg(F.sum("n")).first()[0] == ev.count()
     tot = E.drain(E.running_totals(s), "r_out", "update")
     assert tot.groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_large_sample_is_exact_and_report_counts(spark):
+    from ashlar.operators import Frame
+
+    f = Frame(spark.range(400_000).toDF("i"))
+    s = f.sample(n=150_000, seed=5).df
+    assert s.count() == 150_000 and s.distinct().count() == 150_000
+    rows, report = Frame(spark.range(10).toDF("i")).collect_with_report()
+    assert len(rows) == 10 and report["stages"] >= 1 and report["tasks"] >= 1 and "Range" in report["plan"]

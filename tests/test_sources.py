@@ -90,3 +90,12 @@ def test_present(spark):
     f = R.from_columns(spark, {"a": [1, 2], "b": ["x|y", None]})
     assert W.to_markdown(f).splitlines() == ["| a | b |", "| ---: | --- |", "| 1 | x\\|y |", "| 2 |  |"]
     assert "<td>x|y</td>" in W.to_html(f)
+
+
+def test_header_goes_once_per_file_and_words_stay(spark, tmp_path):
+    from ashlar.sources import readers
+
+    for n, rows in (("a", "a,b\nx,none\na,b\ny,n/a\n"), ("b", "a,b\nz,null\n")):
+        (tmp_path / f"{n}.csv").write_text(rows)
+    got = sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path)).df.collect())
+    assert got == [("a", "b"), ("x", "none"), ("y", "n/a"), ("z", None)]
