@@ -636,4 +636,4 @@ def event_windows(spark, d):
     return w.select(F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-from ashlar.plans import ordered, statistics  # noqa: E402,F401  they register their queries here
+from ashlar.plans import models, ordered, statistics  # noqa: E402,F401  they register their queries here
