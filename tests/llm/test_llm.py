@@ -452,6 +452,79 @@ def test_chat_round_trip_and_machine(spark):
     assert out[4]["turns"][0]["role"] == "we\nird%0A" and not out[None]["valid"]
 
 
+# -- plain versions of the learned operators -----------------------------------------------------------------------
+def plain_features(t):
+    """The statistics of one text, one at a time."""
+    b = (t or "").encode()
+    cls = [int(quality._CLASS[x]) for x in b]
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", low(t).encode()) if t else []
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    lines = [x for x in re.findall(rb"[^\n]+", low(t).encode())]
+    n, one = len(ws), max(len(ws), 1)
+    length = [len(w) for w in ws]
+    letters = sum(c in (1, 2) for c in cls)
+    mean = sum(length) / one
+    # words and lines are looked at in lower case, upper letters in the text itself
+    last, first = [int(quality._CLASS[w[-1]]) for w in raw], [int(quality._CLASS[w[0]]) for w in raw]
+    grams = {tuple(ws[i : i + 3]) for i in range(n - 2)}
+    out = [cls.count(c) / max(len(b), 1) for c in range(len(quality.CLASSES))]
+    return out + [
+        math.log1p(len(b)), math.log1p(n), mean, math.sqrt(max(sum(x * x for x in length) / one - mean**2, 0)), sum(x <= 3 for x in length) / one, cls.count(2) / max(letters, 1),
+        len(set(ws)) / one, sum(x == y for x, y in zip(ws, ws[1:], strict=False)) / one, sum(c in (8, 10) for c in last) / one, sum(c == 2 for c in first) / one,
+        len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), len(grams) / max(n - 2, 1), math.log1p(len(lines)), n / (cls.count(6) + 1),
+    ]
+
+
+def test_quality_against_plain_scoring(docs):
+    import pyarrow as pa
+
+    ts = [t for _, t in pairs(docs)] + ["A.\nb!\nb!\nA.", "One two. One two! THREE #"]
+    x = quality.features(pa.array(ts, pa.string()))
+    for got, t in zip(x, ts, strict=True):
+        assert got.tolist() == pytest.approx(plain_features(t), abs=1e-9)
+    r = np.random.default_rng(3)
+    m = quality.fit_trees(x, (x[:, 16] + r.normal(size=len(x)) > np.median(x[:, 16])).astype(float), trees=30)
+    for row, score in zip(x, m.score(x), strict=True):
+        total = m.base
+        for at in m.roots:
+            while m.feature[at] >= 0:
+                at = m.left[at] + (row[m.feature[at]] > m.threshold[at])
+            total += m.value[at]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_language_against_plain_scoring(docs, spark):
+    r = random.Random(8)
+    train = [(lang, " ".join(r.choices(ws, k=12))) for lang, ws in (("aa", WORDS[:20]), ("bb", WORDS[15:])) for _ in range(40)]
+    m = langid.fit(spark.createDataFrame(train, "lang string, text string"))
+    tables = {o: {int(k): row for k, row in zip(keys, rows, strict=True)} for o, (keys, rows) in m.tables.items()}
+
+    def digest(raw, plus=0):
+        p = words.prefix_hash(np.frombuffer(raw, np.uint8))
+        return int(words.mix(p[-1:] + np.uint64(plus))[0])
+
+    def plain(t):
+        total, some = np.zeros(len(m.langs)), False
+        for w in re.findall(r"[^\x00-\x60\x7B-\x7F]+", t.lower()):
+            some = some or any(c.isalpha() for c in w)
+            if (row := tables[0].get(digest(w.encode()))) is not None:
+                total += row
+                continue
+            s = f" {w} "
+            for n in langid.ORDERS:
+                grams = [s[i : i + n] for i in range(len(s) - n + 1)]
+                known = [tables[n][h] for g in grams if not (n == 1 and g == " ") for h in [digest(g.encode(), n)] if h in tables[n]]
+                if known:
+                    total += np.mean(known, 0)
+                    break
+        e = np.exp(total - total.max())
+        return (m.langs[int(total.argmax())], float((e / e.sum()).max())) if some else ("und", 0.0)
+
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "kramitu lopes, vomi 12 xyz"), (-2, "éra ßlin")], "doc_id long, text string"))
+    for x in langid.predict(d, m).collect():
+        assert (x["lang_pred"], pytest.approx(x["score"], abs=1e-6)) == plain(x["text"] or "")
+
+
 # -- registered SQL, pipeline
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
