@@ -7,11 +7,12 @@ given per call) and, with ``by``, work within groups, which keeps them distribut
 
 from __future__ import annotations
 
-import json
 import difflib
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructType, TimestampNTZType, TimestampType
@@ -185,6 +186,21 @@ class Frame:
         one = self.df.agg(*[F.struct(*[f(d(c)).alias(c) for c in cols]).alias(s) for s, f in stats.items()])
         return Frame(one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), *[F.col(f"`{s}`")[c].alias(c) for c in cols]) for s in stats])).alias("r")).select("r.*"))
 
+    def quantiles(self, col: str, qs: Sequence[float], by=None, method: str = "linear") -> Frame:
+        """Exact quantiles as columns q<percent>, per group with ``by``, for groups too large for one task."""
+        names = [f"q{100 * q:g}".replace(".", "_") for q in qs]
+        return Frame(positions.quantiles(self.df, col, list(qs), _names(by), names, method))
+
+    def map_batches(self, f: Callable, schema: str | StructType) -> Frame:
+        """A table function: ``f`` turns every Arrow record batch into one or more of the given schema."""
+
+        def run(batches):
+            for batch in batches:
+                out = f(batch)
+                yield from [out] if not isinstance(out, (list, tuple)) else out
+
+        return Frame(self.df.mapInArrow(run, schema))
+
     def corr(self, *cols: str, method: str = "pearson") -> Frame:
         cols = list(cols) or self.numeric()
         return Frame(_pairs(self.df, cols, method == "spearman", True))
@@ -589,6 +605,18 @@ class Groups:
     def agg(self, **spec) -> Frame:
         return Frame(self.frame.df.groupBy(*self.keys).agg(*self._exprs(spec)))
 
+    def apply(self, f: Callable, schema: str | StructType) -> Frame:
+        """``f`` turns each group's pandas frame into rows; a group must fit a task."""
+        return Frame(self.frame.df.groupBy(*self.keys).applyInPandas(f, schema))
+
+    def agg_with(self, name: str, col: str, f: Callable, dtype: str = "double") -> Frame:
+        """An aggregate of one's own: ``f`` of a pandas series per group, Arrow-batched."""
+        @F.pandas_udf(dtype)
+        def own(x: pd.Series) -> float:
+            return f(x)
+
+        return Frame(self.frame.df.groupBy(*self.keys).agg(own(F.col(col)).alias(name)))
+
     def _all(self, kind: str) -> Frame:
         cols = [c for c in self.frame.numeric() if c not in self.keys]
         return self.agg(**{c: kind for c in cols})

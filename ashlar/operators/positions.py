@@ -160,6 +160,37 @@ def running(df: DataFrame, keys: list[str], col: str, kind: str, name: str) -> D
     return out.select(*df.columns, *([] if name in df.columns else [name]))
 
 
+def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str], names: list[str], method: str = "linear") -> DataFrame:
+    """Exact quantiles of ``col`` per group as columns ``names``; no task holds a group, only a slice of its distinct values.
+
+    Counts per group and slice tell which slices hold the order statistics; only those are looked into. Null is no value.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    d = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(col).cast("double").alias("_x")).filter("_x is not null")
+    d = d.withColumn("_b", bucket(d, "_x", boundaries(d, "_x"))).groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    per = d.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    per = per.withColumn("_to", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    want = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("_all") - 1) if method == "linear" else F.least(F.greatest(F.lit(float(q)) * (F.col("_all") + 1) - 1, F.lit(0.0)), (F.col("_all") - 1).cast("double"))
+        low = F.floor(pos)
+        want += [F.struct(F.lit(2 * i).alias("w"), low.alias("r"), (pos - low).alias("f")), F.struct(F.lit(2 * i + 1).alias("w"), F.least(low + 1, F.col("_all") - 1).alias("r"), (pos - low).alias("f"))]
+    at = per.select(*keys, "_b", (F.col("_to") - F.col("_n")).alias("_before"), "_to", F.explode(F.array(*want)).alias("_t"))
+    at = at.filter((F.col("_t.r") >= F.col("_before")) & (F.col("_t.r") < F.col("_to")))
+    at = at.groupBy(*[F.col(k).alias("r" + k) for k in keys], F.col("_b").alias("r_b")).agg(F.collect_list(F.struct("_t.w", (F.col("_t.r") - F.col("_before")).alias("o"), "_t.f")).alias("_want"))
+    cond = F.col("_b") == F.col("r_b")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col("r" + k))
+    inside = d.join(at, cond)
+    inside = inside.withColumn("_to", F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = inside.select(*keys, "_x", "_n", "_to", F.explode("_want").alias("_t")).filter((F.col("_t.o") < F.col("_to")) & (F.col("_t.o") >= F.col("_to") - F.col("_n")))
+    value = lambda j: F.max(F.when(F.col("_t.w") == j, F.col("_x")))
+    part = lambda j: F.max(F.when(F.col("_t.w") == j, F.col("_t.f")))
+    out = hit.groupBy(*keys).agg(*[(value(2 * i) + (value(2 * i + 1) - value(2 * i)) * part(2 * i)).alias(n) for i, n in enumerate(names)])
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], *names)
+
+
 def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """``df`` with the average rank of ``col`` over the whole frame; ties and hot values are folded before ranking."""
     n = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("_n"))

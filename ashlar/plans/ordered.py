@@ -205,3 +205,38 @@ def rows_in_memory(spark, d):
 def columns_in_memory(spark, d):
     rows = frame(spark, d, "region").select("r_regionkey", "r_name").to_list()
     return readers.from_columns(spark, {k: [r[k] for r in rows] for k in ("r_regionkey", "r_name")}).df.select(_c("r_regionkey").cast("double").alias("r_regionkey"), "r_name")
+
+
+# -- quantiles by slices, functions of one's own --------------------------------------------------------------------
+@query("quantiles_sliced", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.975), 6) AS q97_5 FROM lineitem GROUP BY 1")
+def quantiles_sliced(spark, d):
+    f = frame(spark, d, "lineitem").quantiles("l_extendedprice", [0.25, 0.5, 0.975], by="l_returnflag")
+    return f.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q97_5")]).df
+
+
+@query("quantiles_whole", "SELECT round(quantile_cont(l_quantity, 0.1), 6) AS q10, round(quantile_cont(l_quantity, 0.9), 6) AS q90 FROM lineitem")
+def quantiles_whole(spark, d):
+    return frame(spark, d, "lineitem").quantiles("l_quantity", [0.1, 0.9]).df
+
+
+@query("own_aggregate", "SELECT c_mktsegment, round(exp(avg(ln(c_custkey + 1))), 6) AS geometric FROM customer GROUP BY 1")
+def own_aggregate(spark, d):
+    import numpy as np
+
+    c = frame(spark, d, "customer").select("c_mktsegment", "c_custkey")
+    return c.group_by("c_mktsegment").agg_with("geometric", "c_custkey", lambda x: float(np.exp(np.log(x + 1).mean()))).select("c_mktsegment", F.round("geometric", 6).alias("geometric")).df
+
+
+@query("group_apply", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS span FROM customer GROUP BY 1")
+def group_apply(spark, d):
+    c = frame(spark, d, "customer").select("c_mktsegment", "c_acctbal")
+    return c.group_by("c_mktsegment").apply(lambda p: p.groupby("c_mktsegment", as_index=False).agg(span=("c_acctbal", lambda x: x.max() - x.min())), "c_mktsegment string, span double").df
+
+
+@query("map_batches", "SELECT n_name, length(n_name) AS n FROM nation")
+def map_batches(spark, d):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = frame(spark, d, "nation").select("n_name")
+    return n.map_batches(lambda b: pa.RecordBatch.from_arrays([b.column(0), pc.utf8_length(b.column(0)).cast(pa.int64())], ["n_name", "n"]), "n_name string, n long").df
