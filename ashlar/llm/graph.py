@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.store import staged
+from ashlar.llm.store import drop, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = staged(both.toDF("u", "v"), "edges")
-    f = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
+    f = parents = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
     while True:
         up = f.select(F.col("u").alias("p"), F.col("p").alias("gp"))
         g = staged(f.join(up, "p").select("u", "p", "gp"), "grandparents")
@@ -26,6 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         cand = near.select("u", "q").union(near.select(F.col("p").alias("u"), "q")).groupBy("u").agg(F.min("q").alias("q"))
         new = staged(f.join(cand, "u").select("u", F.least("p", "q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "parents")
         moved = new.filter("moved").limit(1).count()
-        f = new.select("u", "p")
+        for old in (parents, g):
+            drop(old)
+        parents, f = new, new.select("u", "p")
         if not moved:
+            drop(both)
             return f.select(F.col("u").alias("node"), F.col("p").alias("comp"))

@@ -281,6 +281,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     rows = sigs.filter("heavy is not null").select("e", "n", "heavy").mapInArrow(_members(bits), "w long, e long, n long, i int, z long").join(shared_w, "w")
     ents = rows.groupBy("e").agg(F.max("n").alias("n"), F.max("z").alias("z"), F.sort_array(F.collect_set(F.struct("i", "w"))).alias("t"))
     ents = staged(ents, "entities")
+    spent = [shared_w, ents]  # read by the rounds only
     release(spark)
     if ents.limit(1).count():
         same = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * t
@@ -305,6 +306,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
             mixed = here.groupBy("w").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), pivot).filter("c0 < c1").select("w", "p.e", "p.n", "p.c")
             here = here.join(mixed.toDF("w", "pe", "pn", "pc"), "w")
             here = here if turn < STAR_ROUNDS else staged(here.drop("pe", "pn", "pc", "first"), "mixed")
+            if turn >= STAR_ROUNDS:
+                spent.append(here)
             if turn < STAR_ROUNDS:
                 pairs = here.filter((F.col("c") != F.col("pc")) & same(F.col("n"), F.col("pn"))).groupBy(F.col("e").alias("a"), F.col("pe").alias("b")).agg(F.count(F.lit(1)).alias("m"))
             else:  # whatever still crosses components, pair by pair: the first shared token must leave room for the rest
@@ -318,23 +321,30 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
                 pairs = pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("m")).select("a", "m.b")
             side = lambda x: ents.select(F.col("e").alias(x), *[F.col(c).alias(c + x) for c in ("n", "z", "t")])  # noqa: E731,B023
             pairs = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(t), "a long, b long"), "pairs")
+            spent.append(pairs)
             if not pairs.limit(1).count():
                 if turn < STAR_ROUNDS:
                     continue
                 break
             v = verified(pairs)
+            spent.append(v)
             now = v.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             done = now if done is None else done.union(now)
             links = v.filter("ok").select("a", "b")
             if links.limit(1).count():
+                spent.append(labels)
                 labels = _relabel(labels, links)
             release(spark)
 
+    for old in spent:
+        drop(old)
     # names go to entities first: a row per entity meets its component, and only then rows meet their entity
     per = sigs.filter("e is not null").groupBy("e").agg(F.min("_c.k").alias("least"), F.count(F.lit(1)).alias("rows"))
     per = per.join(labels, "e", "left").select("e", "least", "rows", F.coalesce("c", "e").alias("c"))
     total = per.groupBy("c").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     names = staged(_spread(per, total, "c", "members").select("e", "rows", "component_id"), "names")
+    drop(labels)
+    release(spark)
     out = _spread(sigs.select("_c", "n", "e"), names, "e", "rows")
     return out.select(F.col("_c.k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_c.k")).alias("component_id"))
 

@@ -281,6 +281,7 @@ def _apply(docs: DataFrame, text: str, carry: list[str], length: int, make, word
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_c"), F.col(text).cast("string").alias("_t"))
     kind = rows.schema["_c"].dataType
     schema = StructType([StructField("pack", StringType()), StructField("blob", BinaryType()), StructField("off", ArrayType(LongType())), StructField("docs", ArrayType(kind))])
+    release(spark)  # of what came before
     packs = staged(rows.mapInArrow(_pack(), schema), "packs")
     size = packs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     v, d = cover(length)
