@@ -257,7 +257,10 @@ def _spread(rows: DataFrame, table: DataFrame, key: str, size: str, most: int =
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t: int = 80, verify_cost: float = 8.0) -> DataFrame:
-    """(key, n_shingles, component_id) per row of ``docs``; two rows link when t% of their union is common."""
+    """(key, n_shingles, component_id) per row of ``docs``; two rows link when t% of their union is common.
+
+    The result reads tables of the shared folder, its ``_ashlar_reads``; who has written what it needs may drop them.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.struct(F.col(key).alias("k")).alias("_c"), F.col(text).alias("_t"))
     counted = texts.select("_t").mapInArrow(_count(k), "block int, v binary").groupBy("block").applyInArrow(_add, "block int, v binary").collect()  # 257 rows, 16 MB
@@ -346,7 +349,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, t
     drop(labels)
     release(spark)
     out = _spread(sigs.select("_c", "n", "e"), names, "e", "rows")
-    return out.select(F.col("_c.k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_c.k")).alias("component_id"))
+    out = out.select(F.col("_c.k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_c.k")).alias("component_id"))
+    out._ashlar_reads = [sigs, names]
+    return out
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm import decontam, jaccard, mixing, quality, suffixes
-from ashlar.llm.store import staged
+from ashlar.llm.store import drop, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each component stays: the one with the smallest doc_id, null last. Rows count by themselves, not by doc_id."""
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written once, so that numbers stay
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    keep = jaccard.join(rows.select(key.alias("_key"), "text"), key="_key").filter("_key = component_id").select("_key._row")
+    joined = jaccard.join(rows.select(key.alias("_key"), "text"), key="_key")
+    keep = staged(joined.filter("_key = component_id").select("_key._row"), "kept-rows")
+    for old in joined._ashlar_reads:  # else they lie on disk beside what the next stages write
+        drop(old)
     return rows.join(keep, "_row").select(*docs.columns)
 
 

@@ -615,3 +615,33 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     got = {x["doc_id"]: x["text"] for x in p.repeated_passage_stage(spark, docs, "").collect()}
     assert [passage[5:-5] in got[i] for i in (0, 1)] == [False, False] and other[0] in got[0] and other[3] in got[1]
     assert got[2] == texts[2] and got[3] == texts[3]
+
+
+def test_pipeline_leaves_no_spent_tables_and_sorts_the_cover_sample_in_passes(spark, monkeypatch):
+    import corpus_pipeline as p
+    from ashlar.llm import store
+
+    def left(names, frame):
+        paths = [spark._jvm.org.apache.hadoop.fs.Path(x._ashlar_path) for n, x in names if n in frame]
+        return [x.getFileSystem(spark._jsc.hadoopConfiguration()).exists(x) for x in paths]
+
+    made = []
+
+    def staged(df, name, codec="zstd"):
+        made.append((name, store.staged(df, name, codec)))
+        return made[-1][1]
+
+    for module in (p, jaccard, suffixes):
+        monkeypatch.setattr(module, "staged", staged)
+    r = random.Random(7)
+    texts = [" ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string")
+    out = p.near_duplicate_stage(spark, docs, "")
+    tables = left(made, {"signatures", "names"})
+    assert len(tables) == 2 and not any(tables)
+    assert sorted(map(tuple, out.collect())) == sorted(enumerate(texts))
+    made.clear()
+    assert sorted(map(tuple, p.repeated_passage_stage(spark, out, "").collect())) == sorted(enumerate(texts))
+    sizes = [8 * x.agg(F.sum("n")).first()[0] for n, x in made if n == "cover-ranks"]
+    size = sum(len(t) for t in texts)
+    assert sum(sizes) > size > max(sizes)
