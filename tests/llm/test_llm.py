@@ -645,3 +645,25 @@ def test_pipeline_leaves_no_spent_tables_and_sorts_the_cover_sample_in_passes(sp
     sizes = [8 * x.agg(F.sum("n")).first()[0] for n, x in made if n == "cover-ranks"]
     size = sum(len(t) for t in texts)
     assert sum(sizes) > size > max(sizes)
+
+
+def test_release_frees_the_shuffle_of_the_last_query(spark):
+    import time
+
+    from ashlar.llm import store
+
+    def shuffles():
+        time.sleep(0.5)
+        return spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def same(t):
+        return t
+
+    for _ in range(3):
+        store.release(spark)
+    before = shuffles()
+    for _ in range(2):
+        out = store.staged(spark.range(1000).selectExpr("id", "id % 7 k").groupBy("k").applyInArrow(same, "id long, k long"), "t")
+        store.release(spark)
+        assert shuffles() <= before
+    assert out.count() == 1000
