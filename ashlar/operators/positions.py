@@ -69,8 +69,22 @@ def _prefixed(df: DataFrame, keys: list[str], total: Column, running, name: str,
     return d.withColumn(name, running(w) + F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_b") + 1)).drop("_b")
 
 
-def number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` with the 0-based position of each row in the order of ``keys`` (null last)."""
+def number(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with the 0-based position of each row in the order of ``keys`` (null last), within groups with ``by``.
+
+    Groups are cut into the same slices, so few groups of many rows are no few tasks; counts per group and slice are joined.
+    """
+    if by:
+        d = df.withColumn("_b", bucket(df, keys[0], boundaries(df, keys[0])))
+        at = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        at = at.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
+        cond = F.col("_b") == F.col("_c")
+        for i, c in enumerate(by):
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        d = d.join(at, cond)
+        place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*_ordered(keys))) - 1 + F.col("_before")
+        return d.select(*[c for c in df.columns if c != name], place.alias(name))
     return _prefixed(df, keys, F.count(F.lit(1)), lambda w: (F.row_number().over(w) - 1).cast("long"), name, 0)
 
 

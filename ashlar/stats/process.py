@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ashlar.operators import positions
 from ashlar.stats import basic as B
@@ -38,24 +39,39 @@ def staged_control_chart(df: DataFrame, value: str, order: str, stage: str) -> l
     return [{"stage": r["s"], "n": r["n"], "centre": r["m"], "sigma": r["sd"], "ucl": r["m"] + 3 * r["sd"], "lcl": r["m"] - 3 * r["sd"], "out": r["out"]} if r["sd"] is not None else {"stage": r["s"], "n": r["n"], "centre": r["m"], "sigma": None, "ucl": None, "lcl": None, "out": 0} for r in rows]
 
 
-def generalized_variance_chart(df: DataFrame, xs: list[str], subgroup: str) -> dict:
-    """Determinants of the subgroups' covariance matrices with limits from their pooled matrix."""
+def generalized_variance_limits(df: DataFrame, xs: list[str], subgroup: str) -> dict:
+    """Determinants of the subgroups' covariance matrices as a table ``points``, with limits from their pooled matrix.
+
+    Only the pooled matrix and the number of ``subgroups`` reach the driver, so there may be any number of them.
+    """
     p = len(xs)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     d = df.select(F.col(subgroup).alias("g"), *[clean(F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)]).dropna()
-    covs = [F.covar_samp(f"x{i}", f"x{j}").alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-    rows = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *covs).orderBy("g").collect()  # a row a plotted point
-    n = {r["n"] for r in rows}
-    if len(n) > 1 or min(n) <= p:
+    per = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(f"x{i}", f"x{j}").alias(f"s{i}_{j}") for i, j in pairs])
+    r = per.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.max("n").alias("most"), *[F.avg(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in pairs]).first()
+    n = r["n"]
+    if n is None or n != r["most"] or n <= p:
         raise ValueError("subgroups of one size above the number of variables are needed")
-    n = n.pop()
-    mats = np.array([[[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)] for r in rows])
-    dets = np.linalg.det(mats)
-    pooled = float(np.linalg.det(mats.mean(0)))
+    pooled = float(np.linalg.det(np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])))
     b1 = math.prod((n - i) / (n - 1) for i in range(1, p + 1))
     b2 = (n - 1) ** (-2 * p) * math.prod(n - i for i in range(1, p + 1)) * (math.prod(n - j + 2 for j in range(1, p + 1)) - math.prod(n - j for j in range(1, p + 1)))
     centre, half = pooled, 3 * pooled / b1 * math.sqrt(b2)
     ucl, lcl = centre + half, max(0.0, centre - half)
-    return {"centre": centre, "ucl": ucl, "lcl": lcl, "points": [{"subgroup": r["g"], "value": float(v), "out": bool(v > ucl or v < lcl)} for r, v in zip(rows, dets, strict=True)]}
+
+    def run(batches):
+        for t in batches:
+            m = np.stack([t[f"s{min(i, j)}_{max(i, j)}"].to_numpy(float) for i in range(p) for j in range(p)], 1).reshape(-1, p, p)
+            v = np.linalg.det(m)
+            yield t[["g"]].rename(columns={"g": "subgroup"}).assign(value=v, out=(v > ucl) | (v < lcl))
+
+    points = per.mapInPandas(run, StructType([StructField("subgroup", d.schema["g"].dataType), StructField("value", DoubleType()), StructField("out", BooleanType())]))
+    return {"centre": centre, "ucl": ucl, "lcl": lcl, "subgroups": r["k"], "points": points}
+
+
+def generalized_variance_chart(df: DataFrame, xs: list[str], subgroup: str) -> dict:
+    """``generalized_variance_limits`` with the points as a list in the order of the subgroups, for charts that are drawn."""
+    r = generalized_variance_limits(df, xs, subgroup)
+    return r | {"points": [t.asDict() for t in r["points"].orderBy("subgroup").collect()]}  # a row a plotted point
 
 
 def within_estimate(df: DataFrame, value: str, order: str | None = None, subgroup: str | None = None, method: str = "pooled") -> float:

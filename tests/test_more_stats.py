@@ -529,3 +529,23 @@ def test_plots_and_reports(df, spark):
     r = np.random.default_rng(3)
     t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(r.normal(size=80).cumsum())], "t long, y double")
     assert len(studies.time_series_study(t, "y", "t", ahead=3)["forecast"]) == 3
+
+
+def test_generalized_variance_of_many_subgroups(spark):
+    """Points stay a table; positions within few groups are numbered in slices."""
+    from pyspark.sql import Window
+
+    from ashlar.operators import positions
+
+    d = spark.range(3000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 50 != 7, F.col("id") * 7919 % 3001).alias("o"), "id", F.rand(3).alias("x"), F.rand(4).alias("z"))
+    d = d.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).persist()
+    want = d.select("id", (F.row_number().over(Window.partitionBy("k").orderBy(F.col("o").asc_nulls_last(), "id")) - 1).alias("i"))
+    n = positions.number(d, ["o", "id"], "i", ["k"])
+    assert n.columns == [*d.columns, "i"] and {tuple(r) for r in n.select("id", "i").collect()} == {tuple(r) for r in want.collect()}
+    g = d.withColumn("g", F.floor(F.col("id") / 5))
+    r = process.generalized_variance_limits(g, ["x", "z"], "g")
+    c = process.generalized_variance_chart(g, ["x", "z"], "g")
+    assert r["subgroups"] == 600 and len(c["points"]) == 600 and [p["subgroup"] for p in c["points"][:3]] == [0, 1, 2]
+    assert r["points"].filter((F.col("value") > r["ucl"]) | (F.col("value") < r["lcl"])).count() == r["points"].filter("out").count() == sum(p["out"] for p in c["points"])
+    with pytest.raises(ValueError, match="one size"):
+        process.generalized_variance_limits(g.filter("id > 0"), ["x", "z"], "g")
