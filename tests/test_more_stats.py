@@ -549,3 +549,19 @@ def test_generalized_variance_of_many_subgroups(spark):
     assert r["points"].filter((F.col("value") > r["ucl"]) | (F.col("value") < r["lcl"])).count() == r["points"].filter("out").count() == sum(p["out"] for p in c["points"])
     with pytest.raises(ValueError, match="one size"):
         process.generalized_variance_limits(g.filter("id > 0"), ["x", "z"], "g")
+
+
+def test_kendall_of_many_rows(spark):
+    """Exact against all pairs, with hot values and ties, in one slice and in many; more rows than a driver's double loop bears."""
+    from ashlar.stats import basic
+
+    r = np.random.default_rng(2)
+    x, y = np.where(r.random(600) < 0.4, 3.0, r.integers(0, 90, 600)), np.where(r.random(600) < 0.3, -1.0, r.normal(size=600).round(1))
+    sx, sy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    want = (sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum())
+    assert basic.pair_signs(x, y, np.ones(600)) == (sx * sy).sum() // 2 and basic.pair_signs([], [], []) == 0
+    d = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)) + [(1.0, None), (math.nan, 1.0)], "x double, y double")
+    for rows in (10_000, 200, 40):
+        assert basic.kendall(d, "x", "y", rows)["tau"] == pytest.approx(want, abs=1e-12)
+    big = spark.range(30_000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 29_999).alias("b"))
+    assert basic.kendall(big, "a", "b")["tau"] == pytest.approx(((29_999 * 29_998 // 2) - 29_998) / math.sqrt((30_000 * 29_999 // 2) * (30_000 * 29_999 // 2 - 1)), abs=1e-12)
