@@ -313,6 +313,16 @@ def gram(a, w=None) -> np.ndarray:
     return a.T @ (a if w is None else a * np.asarray(w, float)[:, None])
 
 
+def gram_of(df: DataFrame, columns: list[str], w: str | None = None) -> np.ndarray:
+    """``gram`` over the complete rows of a table of any size, by one aggregate; the cross products with another column are in it too."""
+    d = df.select(*[clean(F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)], (clean(F.col(w)) if w else F.lit(1.0)).alias("w")).dropna()
+    k = len(columns)
+    r = d.agg(*[F.coalesce(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")), F.lit(0.0)) for i in range(k) for j in range(i, k)]).first()
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = list(r)
+    return out + np.triu(out, 1).T
+
+
 def gram_vec(a, y, w=None) -> np.ndarray:
     y = np.asarray(y, float)
     return np.asarray(a, float).T @ (y if w is None else y * np.asarray(w, float))

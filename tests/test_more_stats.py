@@ -565,3 +565,14 @@ def test_kendall_of_many_rows(spark):
         assert basic.kendall(d, "x", "y", rows)["tau"] == pytest.approx(want, abs=1e-12)
     big = spark.range(30_000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 29_999).alias("b"))
     assert basic.kendall(big, "a", "b")["tau"] == pytest.approx(((29_999 * 29_998 // 2) - 29_998) / math.sqrt((30_000 * 29_999 // 2) * (30_000 * 29_999 // 2 - 1)), abs=1e-12)
+
+
+def test_gram_of_more_rows_than_a_matrix(spark):
+    d = spark.range(1_000_001).select(F.lit(1.0).alias("one"), (F.col("id") % 50).alias("x"), F.when(F.col("id") > 0, 3 + 2.0 * (F.col("id") % 50)).alias("y"))
+    with pytest.raises(ValueError):
+        studies.worksheet_matrix(d.fillna(0.0), ["one", "x", "y"])
+    g = studies.gram_of(d, ["one", "x", "y"])
+    assert g[0, 0] == 1_000_000 and (g == g.T).all() and studies.cholesky_solve(studies.cholesky(g[:2, :2]), g[:2, 2]) == pytest.approx([3, 2])
+    some = d.limit(40).withColumn("w", F.col("x") + 1)
+    m = studies.worksheet_matrix(some, ["x", "y", "w"])
+    assert studies.gram_of(some, ["x", "y"], "w") == pytest.approx(studies.gram(m[:, :2], m[:, 2])) and (studies.gram_of(d.limit(0), ["x"]) == 0).all()
