@@ -414,7 +414,8 @@ class Frame:
         cols = cols or [c for c in self.columns if c not in (_names(order) or self.order) + _names(by)]
         if not _names(by):
             self._by(order)
-            return self._new(positions.carried(self.df, _names(order) or self.order, {c: F.col(c) for c in cols}, f is F.last))
+            values = {c: F.col(c) for c in cols}
+            return self._new(positions.carried(self.df, _names(order) or self.order, *({}, values)[:: 1 if f is F.first else -1]))
         w = self._at(by, order).rowsBetween(*span)
         return self._new(self.df.select(*[f(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in self.columns]))
 
@@ -433,14 +434,14 @@ class Frame:
         else:
             self._by(order)
             keys = _names(order) or self.order
-            d = positions.number(self.df, keys, "_i")
-            d = positions.carried(d, keys, {f"_back{i}": points[c] for i, c in enumerate(cols)}, True)
-            d = positions.carried(d, keys, {f"_ahead{i}": points[c] for i, c in enumerate(cols)}, False)
+            cuts = positions.boundaries(self.df, keys[0])
+            d = positions.number(self.df, keys, "_i", cuts=cuts, keep=True)
+            d = positions.carried(d, ["_i"], {f"_back{i}": points[c] for i, c in enumerate(cols)}, {f"_ahead{i}": points[c] for i, c in enumerate(cols)}, cuts)
         for i, c in enumerate(cols):
             x = F.col(c).cast("double")
             if by:
                 back = F.last(points[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                ahead = F.first(points[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+                ahead = F.last(points[c], ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0))
             else:
                 back, ahead = F.col(f"_back{i}"), F.col(f"_ahead{i}")
             line = back["x"] + (ahead["x"] - back["x"]) * (F.col("_i") - back["i"]) / F.when(ahead["i"] != back["i"], ahead["i"] - back["i"])

@@ -53,12 +53,12 @@ def _search(key: Column, cuts: list, kind) -> Column:
     return tree(0, len(cuts))
 
 
-def _ordered(keys: list[str]) -> list[Column]:
-    return [F.col(k).asc_nulls_last() for k in keys]
+def _ordered(keys: list[str], reverse: bool = False) -> list[Column]:
+    return [F.col(k).desc_nulls_first() if reverse else F.col(k).asc_nulls_last() for k in keys]
 
 
-def _prefixed(df: DataFrame, keys: list[str], total: Column, running, name: str, zero) -> DataFrame:
-    cuts = boundaries(df, keys[0])
+def _prefixed(df: DataFrame, keys: list[str], total: Column, running, name: str, zero, cuts: list | None = None, keep: bool = False) -> DataFrame:
+    cuts = boundaries(df, keys[0]) if cuts is None else cuts
     d = df.withColumn("_b", bucket(df, keys[0], cuts))
     sums = {r[0]: r[1] for r in d.groupBy("_b").agg(total).collect()}  # one row per slice
     at, offsets = zero, []
@@ -66,13 +66,13 @@ def _prefixed(df: DataFrame, keys: list[str], total: Column, running, name: str,
         offsets.append(at)
         at = at + (sums.get(b) or zero)
     w = Window.partitionBy("_b").orderBy(*_ordered(keys))
-    return d.withColumn(name, running(w) + F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_b") + 1)).drop("_b")
+    return d.withColumn(name, running(w) + F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_b") + 1)).drop(*([] if keep else ["_b"]))
 
 
-def number(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+def number(df: DataFrame, keys: list[str], name: str, by: list[str] | None = None, cuts: list | None = None, keep: bool = False) -> DataFrame:
     """``df`` with the 0-based position of each row in the order of ``keys`` (null last), within groups with ``by``.
 
-    Groups are cut into the same slices, so few groups of many rows are no few tasks; counts per group and slice are joined.
+    ``cuts`` are known boundaries of the first key; any are right. ``keep`` leaves the slices in ``_b``. Groups are cut into the same slices, so few groups of many rows are no few tasks; counts per group and slice are joined.
     """
     if by:
         d = df.withColumn("_b", bucket(df, keys[0], boundaries(df, keys[0])))
@@ -85,7 +85,7 @@ def number(df: DataFrame, keys: list[str], name: str, by: list[str] | None = Non
         d = d.join(at, cond)
         place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*_ordered(keys))) - 1 + F.col("_before")
         return d.select(*[c for c in df.columns if c != name], place.alias(name))
-    return _prefixed(df, keys, F.count(F.lit(1)), lambda w: (F.row_number().over(w) - 1).cast("long"), name, 0)
+    return _prefixed(df, keys, F.count(F.lit(1)), lambda w: (F.row_number().over(w) - 1).cast("long"), name, 0, cuts, keep)
 
 
 def running_sum(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
@@ -113,37 +113,35 @@ def beside(df: DataFrame, keys: list[str], back: int, ahead: int, make) -> DataF
     return out.select(*[c for c in df.columns], *[k for k in made if k not in df.columns])
 
 
-def carried(df: DataFrame, keys: list[str], values: dict[str, Column], forward: bool) -> DataFrame:
-    """``df`` with columns of the last (or next) value that is not null, this row's included, in the order of ``keys``.
+def carried(df: DataFrame, keys: list[str], back: dict[str, Column], ahead: dict[str, Column] | None = None, cuts: list | None = None) -> DataFrame:
+    """``df`` with columns of the last (``back``) or next (``ahead``) value that is not null, this row's included, in the order of ``keys``.
 
-    Slices of the order are filled by themselves; what each passes on, one value a column, is added as a literal.
+    Slices of the order are filled by themselves; what each passes on, one value a column, is joined. Next values are last values of the
+    reversed order: a window that reaches to the end is read again for every row. ``df`` may have its slices in ``_b`` already.
     """
-    cuts = boundaries(df, keys[0])
-    names = {k: f"_v{i}" for i, k in enumerate(values)}
-    d = df.withColumn("_b", bucket(df, keys[0], cuts)).select("*", *[v.alias(names[k]) for k, v in values.items()])
+    cuts = boundaries(df, keys[0]) if cuts is None else cuts
+    names = {(k, way): f"_v{len(back) * way + i}" for way, values in enumerate((back, ahead or {})) for i, k in enumerate(values)}
+    columns = [c for c in df.columns if c != "_b"]
+    d = df if "_b" in df.columns else df.withColumn("_b", bucket(df, keys[0], cuts))
+    d = d.select("*", *[(ahead if way else back)[k].alias(m) for (k, way), m in names.items()])
     order = F.struct(*[F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k")) for k in keys])
-    pick = F.max_by if forward else F.min_by
-    got = {r["_b"]: r for r in d.groupBy("_b").agg(*[pick(F.col(n), F.when(F.col(n).isNotNull(), order)).alias(n) for n in names.values()]).collect()}  # a row a slice
+    some = [(F.min_by if way else F.max_by)(F.col(m), F.when(F.col(m).isNotNull(), order)).alias(m) for (_, way), m in names.items()]
+    got = {r["_b"]: r for r in d.groupBy("_b").agg(*some).collect()}  # a row a slice
     n = len(cuts) + 1
     pass_on: dict[str, list] = {m: [None] * n for m in names.values()}
-    for m, v in pass_on.items():
+    for (_, way), m in names.items():
         now = None
-        for b in range(n) if forward else range(n - 1, -1, -1):
-            v[b] = now
+        for b in range(n - 1, -1, -1) if way else range(n):
+            pass_on[m][b] = now
             if b in got and got[b][m] is not None:
                 now = got[b][m]
-    w = Window.partitionBy("_b").orderBy(*_ordered(keys))
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-    take = F.last if forward else F.first
-    made = {}
-    for k, m in names.items():
-        kind = d.schema[m].dataType
-        table = df.sparkSession.createDataFrame([(b, v) for b, v in enumerate(pass_on[m])], StructType([StructField("_b", IntegerType()), StructField("_p", kind)]))
-        d = d.join(F.broadcast(table.withColumnRenamed("_p", "_p" + m)), "_b", "left")  # a row a slice
-        made[k] = F.coalesce(take(m, ignorenulls=True).over(w), F.col("_p" + m))
-    keep = [c for c in df.columns if c not in made]
-    out = d.select(*keep, *[v.alias(k) for k, v in made.items()])
-    return out.select(*[c for c in df.columns], *[k for k in made if k not in df.columns])
+    kinds = StructType([StructField("_c", IntegerType()), *[StructField("_p" + m, d.schema[m].dataType) for m in pass_on]])
+    table = df.sparkSession.createDataFrame([(b, *[v[b] for v in pass_on.values()]) for b in range(n)], kinds)
+    w = [Window.partitionBy("_b").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (_ordered(keys), _ordered(keys, True))]
+    d = d.select("*", *[F.last(m, ignorenulls=True).over(w[way]).alias("_w" + m) for (_, way), m in names.items()])
+    d = d.join(F.broadcast(table), F.col("_b") == F.col("_c"), "left")  # a row a slice
+    made = {k: F.coalesce(F.col("_w" + m), F.col("_p" + m)) for (k, _), m in names.items()}
+    return d.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns], *[v.alias(k) for k, v in made.items() if k not in columns])
 
 
 def running(df: DataFrame, keys: list[str], col: str, kind: str, name: str) -> DataFrame:
