@@ -29,6 +29,7 @@ def _names(x: str | Sequence[str] | None) -> list[str]:
 class Frame:
     def __init__(self, df: DataFrame, order: str | Sequence[str] | None = None):
         self.df, self.order = df, _names(order)
+        self._cuts: dict[str, list] = {}  # boundaries of order keys, passed on by operators that leave rows and keys as they are
 
     # -- schema -------------------------------------------------------------------------------------------------
     @property
@@ -47,6 +48,18 @@ class Frame:
         order = self.order if order is None else order
         return Frame(df, [c for c in order if c in df.columns])
 
+    def _slices(self, keys: list[str]) -> list:
+        """Boundaries of the first key, found once for a chain of operators."""
+        if keys[0] not in self._cuts:
+            self._cuts[keys[0]] = positions.boundaries(self.df, keys[0])
+        return self._cuts[keys[0]]
+
+    def _ordered(self, df: DataFrame, *changed: str) -> Frame:
+        """``df``, which has the rows of this frame; ``changed`` columns have new values."""
+        out = self._new(df)
+        out._cuts = {k: v for k, v in self._cuts.items() if k in df.columns and k not in changed}
+        return out
+
     def _check(self, *names: str) -> None:
         for n in names:
             if n not in self.columns:
@@ -405,19 +418,23 @@ class Frame:
         return self._new(self.df.select(*[F.coalesce(F.col(c), F.lit(fills[c]).cast(kinds[c])).alias(c) if c in fills and fits(c, fills[c]) else F.col(c) for c in self.columns]))
 
     def ffill(self, *cols: str, by=None, order=None) -> Frame:
-        return self._filled(F.last, cols, by, order, (Window.unboundedPreceding, 0))
+        return self._filled(True, cols, by, order)
 
     def bfill(self, *cols: str, by=None, order=None) -> Frame:
-        return self._filled(F.first, cols, by, order, (0, Window.unboundedFollowing))
+        return self._filled(False, cols, by, order)
 
-    def _filled(self, f, cols, by, order, span) -> Frame:
-        cols = cols or [c for c in self.columns if c not in (_names(order) or self.order) + _names(by)]
-        if not _names(by):
+    def _filled(self, forward: bool, cols, by, order) -> Frame:
+        keys, by = _names(order) or self.order, _names(by)
+        cols = cols or [c for c in self.columns if c not in keys + by]
+        if not by:
             self._by(order)
             values = {c: F.col(c) for c in cols}
-            return self._new(positions.carried(self.df, _names(order) or self.order, *({}, values)[:: 1 if f is F.first else -1]))
-        w = self._at(by, order).rowsBetween(*span)
-        return self._new(self.df.select(*[f(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in self.columns]))
+            return self._ordered(positions.carried(self.df, keys, values if forward else {}, {} if forward else values, self._slices(keys)), *cols)
+        w, d = self._at(by, order), self.df
+        if not forward:  # the last of the reversed rows: a frame to the end is read again for every row
+            d, w = d.withColumn("_i", F.row_number().over(w)), Window.partitionBy(*by).orderBy(F.col("_i").desc())
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
+        return self._new(d.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in self.columns]))
 
     def drop_null(self, *cols: str) -> Frame:
         """Rows without null in the columns; NaN is a value."""
@@ -434,7 +451,7 @@ class Frame:
         else:
             self._by(order)
             keys = _names(order) or self.order
-            cuts = positions.boundaries(self.df, keys[0])
+            cuts = self._slices(keys)
             d = positions.number(self.df, keys, "_i", cuts=cuts, keep=True)
             d = positions.carried(d, ["_i"], {f"_back{i}": points[c] for i, c in enumerate(cols)}, {f"_ahead{i}": points[c] for i, c in enumerate(cols)}, cuts)
         for i, c in enumerate(cols):

@@ -221,7 +221,7 @@ def cumulative_incidence(df: DataFrame, time: str, cause: str, of=1) -> DataFram
     """Aalen-Johansen curve of one cause (0 is censored): per event time the risk set, events and cumulative incidence."""
     t = df.select(clean(F.col(time)).alias("t"), F.col(cause).alias("c")).dropna().groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") != 0).alias("d"), F.count_if(F.col("c") == of).alias("own"))
     w = Window.orderBy("t")
-    t = t.withColumn("risk", F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    t = t.withColumn("risk", F.sum("n").over(Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
     step = F.when(F.col("d") < F.col("risk"), F.log(1 - F.col("d") / F.col("risk"))).otherwise(F.lit(-745.0))
     t = t.withColumn("before", F.exp(F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
     return t.withColumn("incidence", F.sum(F.col("before") * F.col("own") / F.col("risk")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("own > 0").select(F.col("t").alias("time"), "risk", F.col("own").alias("events"), "incidence")

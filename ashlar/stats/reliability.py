@@ -21,7 +21,7 @@ def kaplan_meier(df: DataFrame, time: str, censor: str | None = None, by: str |
     """Per group and event time: at risk, events, survival, Greenwood se and log-log interval; distributed by group."""
     t = _times(df, time, censor, by)
     w = Window.partitionBy("g").orderBy("t")
-    risk = F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing).orderBy("t"))
+    risk = F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
     t = t.withColumn("risk", risk)
     ran = w.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("gone", F.max(F.when(F.col("d") == F.col("risk"), 1).otherwise(0)).over(ran))

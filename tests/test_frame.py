@@ -155,3 +155,19 @@ def test_no_frame_reaches_to_the_end(spark):
         assert got[r["i"]] == pytest.approx(want), r
     within = f.interpolate("v", by="g")
     assert "unboundedfollowing" not in _plan(within.df) and within.df.filter(F.isnan("v")).count() == 0
+
+
+def test_fills_by_the_reversed_order(spark):
+    from ashlar.stats import life, reliability
+
+    rows = [{"i": i, "g": "ab"[i % 2], "v": float(i) if i % 5 == 0 else None} for i in range(300)]
+    f = from_rows(spark, rows).with_order("i")
+    for by in (None, "g"):
+        n = f.with_columns(a=F.col("v"), b=F.col("v")).ffill("a", by=by).bfill("b", by=by)
+        assert "unboundedfollowing" not in _plan(n.df)
+        for r in n.df.collect():
+            known = [k for k in range(0, 300, 5) if by is None or k % 2 == r["i"] % 2]
+            assert r["a"] == max((k for k in known if k <= r["i"]), default=None) and r["b"] == min((k for k in known if k >= r["i"]), default=None)
+    t = spark.range(60).select((F.col("id") % 20).alias("t"), (F.col("id") % 3).alias("c"))
+    for d in (reliability.kaplan_meier(t, "t", "c"), life.cumulative_incidence(t, "t", "c")):
+        assert "unboundedfollowing" not in _plan(d) and {r["time"]: r["risk"] for r in d.collect()} == {r["time"]: 60 - 3 * r["time"] for r in d.collect()}
