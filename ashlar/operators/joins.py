@@ -81,14 +81,15 @@ def join_asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, st
         ends = every.join(ends, "_b", "left")  # a row per slice
         w = Window.orderBy("_b")
         before = F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        after = F.last("lo", ignorenulls=True).over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
         near = ends.select("_b", before.alias("p"), after.alias("n")).select("_b", F.explode(F.array("p", "n")).alias("g")).filter("g is not null").select("g._k", "g._r", "_b")
         r = r.select("_k", "_r", "_b").unionByName(near)
     none_l, none_r = F.lit(None).cast(l.schema["_l"].dataType), F.lit(None).cast(r.schema["_r"].dataType)
     both = l.withColumn("_r", none_r).unionByName(r.withColumn("_side", F.lit(0)).withColumn("_l", none_l))
     pair = F.when(F.col("_side") == 0, F.struct("_k", "_r"))
     back = F.last(pair, ignorenulls=True).over(Window.partitionBy(*groups).orderBy("_k", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(pair, ignorenulls=True).over(Window.partitionBy(*groups).orderBy(F.col("_k"), F.col("_side").desc(), F.col("_r")).rowsBetween(0, Window.unboundedFollowing))
+    # the last of the reversed order: a frame that reaches to the end is read again for every row
+    ahead = F.last(pair, ignorenulls=True).over(Window.partitionBy(*groups).orderBy(F.col("_k").desc(), F.col("_side"), F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
     if strategy == "backward":
         found = both.withColumn("_m", back)
     elif strategy == "forward":

@@ -171,3 +171,19 @@ def test_fills_by_the_reversed_order(spark):
     t = spark.range(60).select((F.col("id") % 20).alias("t"), (F.col("id") % 3).alias("c"))
     for d in (reliability.kaplan_meier(t, "t", "c"), life.cumulative_incidence(t, "t", "c")):
         assert "unboundedfollowing" not in _plan(d) and {r["time"]: r["risk"] for r in d.collect()} == {r["time"]: 60 - 3 * r["time"] for r in d.collect()}
+
+
+def test_asof_by_the_reversed_order(spark):
+    left = [{"i": i, "t": None if i == 7 else i * 37 % 101} for i in range(60)]
+    right = [{"j": j, "u": None if j == 3 else j * 53 % 97} for j in range(50)] + [{"j": 50, "u": 0}, {"j": 51, "u": 90}]
+    a, b = from_rows(spark, left), from_rows(spark, right)
+    for way in ("backward", "forward", "nearest"):
+        n = a.join_asof(b, "t", "u", way)
+        assert "unboundedfollowing" not in _plan(n.df)
+        rows = n.df.collect()
+        assert len(rows) == 60
+        for r in rows:
+            some = [(x["u"], x["j"]) for x in right if x["u"] is not None and r["t"] is not None]
+            p, q = max((x for x in some if x[0] <= r["t"]), default=None), min((x for x in some if x[0] >= r["t"]), default=None)
+            want = p if way == "backward" or (way == "nearest" and (q is None or p and r["t"] - p[0] < q[0] - r["t"])) else q
+            assert (r["u"], r["j"]) == (want or (None, None)), (way, r)
