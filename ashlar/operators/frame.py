@@ -175,7 +175,7 @@ class Frame:
         return Groups(self, list(keys))
 
     def agg(self, **spec) -> Frame:
-        return Frame(self.df.agg(*Groups(self, [])._exprs(spec)))
+        return Groups(self, []).agg(**spec)
 
     def cube(self, *keys: str, **spec) -> Frame:
         return Frame(self.df.cube(*keys).agg(*Groups(self, [])._exprs(spec)))
@@ -189,14 +189,19 @@ class Frame:
 
     # -- statistics of the core ---------------------------------------------------------------------------------
     def describe(self, *cols: str, method: str = "linear") -> Frame:
-        """count, mean, std, min, 25%, 50%, 75%, max as rows (``stat``); one pass over the data."""
+        """count, mean, std, min, 25%, 50%, 75%, max as rows (``stat``); one pass over the data, quartiles of long columns by slices."""
         cols = cols or [c for c in self.numeric()]
         d = lambda c: F.col(c).cast("double") if not isinstance(self.df.schema[c].dataType, (TimestampType, TimestampNTZType)) else F.unix_millis(F.col(c).cast("timestamp")).cast("double")
         stats = {
             "count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min,
             "25%": lambda x: A.quantile(x, 0.25, method), "50%": lambda x: A.quantile(x, 0.5, method), "75%": lambda x: A.quantile(x, 0.75, method), "max": F.max,
         }
-        one = self.df.agg(*[F.struct(*[f(d(c)).alias(c) for c in cols]).alias(s) for s, f in stats.items()])
+        cut = {"25%": 0.25, "50%": 0.5, "75%": 0.75} if Groups(self, []).largest() > Groups.most else {}
+        one = self.df.agg(*[F.struct(*[f(d(c)).alias(c) for c in cols]).alias(s) for s, f in stats.items() if s not in cut])
+        if cut:
+            for i, c in enumerate(cols):
+                one = one.crossJoin(positions.quantiles(self.df.select(d(c).alias("_x")), "_x", list(cut.values()), [], [f"{i}_{s}" for s in cut], method))
+            one = one.select("*", *[F.struct(*[F.col(f"{i}_{s}").alias(c) for i, c in enumerate(cols)]).alias(s) for s in cut])
         return Frame(one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), *[F.col(f"`{s}`")[c].alias(c) for c in cols]) for s in stats])).alias("r")).select("r.*"))
 
     def quantiles(self, col: str, qs: Sequence[float], by=None, method: str = "linear") -> Frame:
@@ -620,8 +625,33 @@ class Groups:
             raise ValueError("agg needs an aggregate")
         return out
 
+    #: rows of the largest group whose quantiles are found in one task; beyond it groups are cut into slices
+    most = 1 << 20
+
+    def largest(self) -> int:
+        return self.frame.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
     def agg(self, **spec) -> Frame:
-        return Frame(self.frame.df.groupBy(*self.keys).agg(*self._exprs(spec)))
+        cut: dict[tuple[str, str], dict[str, float]] = {}  # column and method -> name and share
+        names, rest = [], {}
+        for name, s in spec.items():
+            items = [(name, name, s)] if isinstance(s, str) else [(f"{name}_{k}", name, k) for k in s] if isinstance(s, list) else [(name, *s)] if isinstance(s, tuple) else [(name, None, None)]
+            names += [i[0] for i in items]
+            for as_, col, kind, *more in items:
+                if kind in ("median", "quantile"):
+                    q, method = (*more, *(0.5, "linear")[len(more) :])
+                    cut.setdefault((col, method), {})[as_] = 0.5 if kind == "median" else float(q)
+                else:
+                    rest[as_] = s if col is None else (col, kind, *more)
+        if not cut or self.largest() <= self.most:
+            return Frame(self.frame.df.groupBy(*self.keys).agg(*self._exprs(spec)))
+        out = self.frame.df.groupBy(*self.keys).agg(*(self._exprs(rest) if rest else [F.count(F.lit(1)).alias("_n")]))
+        for j, ((col, method), qs) in enumerate(cut.items()):
+            q = positions.quantiles(self.frame.df, col, list(qs.values()), self.keys, list(qs), method)
+            q = q.toDF(*[f"_k{j}_{i}" for i in range(len(self.keys))], *qs)
+            same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{j}_{i}")) for i, k in enumerate(self.keys)]
+            out = out.join(q, reduce(lambda a, b: a & b, same), "left") if same else out.crossJoin(q)
+        return Frame(out.select(*[F.col(f"`{c}`") for c in [*self.keys, *names]]))
 
     def apply(self, f: Callable, schema: str | StructType) -> Frame:
         """``f`` turns each group's pandas frame into rows; a group must fit a task."""

@@ -199,7 +199,8 @@ def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str], names: li
     hit = inside.select(*keys, "_x", "_n", "_to", F.explode("_want").alias("_t")).filter((F.col("_t.o") < F.col("_to")) & (F.col("_t.o") >= F.col("_to") - F.col("_n")))
     value = lambda j: F.max(F.when(F.col("_t.w") == j, F.col("_x")))
     part = lambda j: F.max(F.when(F.col("_t.w") == j, F.col("_t.f")))
-    out = hit.groupBy(*keys).agg(*[(value(2 * i) + (value(2 * i + 1) - value(2 * i)) * part(2 * i)).alias(n) for i, n in enumerate(names)])
+    line = lambda a, b, f: F.when((f == 0) | (a == b), a).otherwise(a + (b - a) * f)
+    out = hit.groupBy(*keys).agg(*[line(value(2 * i), value(2 * i + 1), part(2 * i)).alias(n) for i, n in enumerate(names)])
     return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], *names)
 
 

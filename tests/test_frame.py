@@ -187,3 +187,22 @@ def test_asof_by_the_reversed_order(spark):
             p, q = max((x for x in some if x[0] <= r["t"]), default=None), min((x for x in some if x[0] >= r["t"]), default=None)
             want = p if way == "backward" or (way == "nearest" and (q is None or p and r["t"] - p[0] < q[0] - r["t"])) else q
             assert (r["u"], r["j"]) == (want or (None, None)), (way, r)
+
+
+def test_quantiles_of_large_groups_by_slices(spark, monkeypatch):
+    from ashlar.operators.frame import Groups
+
+    rows = [{"g": None if i % 9 == 0 else "abc"[i % 3], "v": float(i * 31 % 57) if i % 4 and i % 3 != 2 else None, "z": math.inf if i > 190 else i / 7} for i in range(200)]
+    f = from_rows(spark, rows)
+
+    def both():
+        spec = {"q1": ("v", "quantile", 0.25), "med": ("v", "median"), "n": ("v", "count"), "m6": ("z", "quantile", 0.9, "minitab"), "z": ["median", "max"], "s": F.sum("v")}
+        a, d = f.group_by("g").agg(**spec), f.describe("v", "z")
+        return a.columns, a.df.orderBy("g").collect(), f.agg(**spec).df.collect(), d.df.collect(), f.group_by("g").agg(med=("v", "median")).df.orderBy("g").collect(), "percentile(" in _plan(a.df)
+
+    one = both()
+    monkeypatch.setattr(Groups, "most", 10)
+    many = both()
+    assert one[5] and not many[5] and one[0] == many[0] == ["g", "q1", "med", "n", "m6", "z_median", "z_max", "s"]
+    for a, b in zip(one[1] + one[2] + one[3] + one[4], many[1] + many[2] + many[3] + many[4], strict=True):
+        assert tuple(a) == pytest.approx(tuple(b), nan_ok=True) if None not in a else [str(x)[:9] for x in a] == [str(x)[:9] for x in b]
