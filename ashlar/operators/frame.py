@@ -30,6 +30,8 @@ class Frame:
     def __init__(self, df: DataFrame, order: str | Sequence[str] | None = None):
         self.df, self.order = df, _names(order)
         self._cuts: dict[str, list] = {}  # boundaries of order keys, passed on by operators that leave rows and keys as they are
+        self._link: tuple | None = None  # of a chain that one pass makes: kind, order, the frame before it, its columns
+        self._numbered: tuple | None = None  # order and rows with their positions
 
     # -- schema -------------------------------------------------------------------------------------------------
     @property
@@ -260,7 +262,7 @@ class Frame:
     def rolling(self, name: str, col: str, window: int, agg: str = "mean", by=None, order=None, q: float = 0.5) -> Frame:
         """Over the last ``window`` rows; without ``by`` in blocks of rows, so that no task orders everything."""
         if not _names(by):
-            return self._beside(order, window - 1, 0, lambda w: {name: A.windowed(agg, F.col(col), w.rowsBetween(-(window - 1), 0), q)})
+            return self._beside(order, window - 1, 0, name, col, lambda w: A.windowed(agg, F.col(col), w.rowsBetween(-(window - 1), 0), q))
         w = Window.partitionBy(*_names(by)).orderBy(*self._by(order)).rowsBetween(-(window - 1), 0)
         return self.with_columns(**{name: A.windowed(agg, F.col(col), w, q)})
 
@@ -268,18 +270,40 @@ class Frame:
         """From the first row on. Without ``by``: sum, mean, count, min and max by slices; the others are one ordered sequence."""
         if not _names(by) and agg in ("sum", "mean", "count", "min", "max"):
             self._by(order)
-            return self._new(positions.running(self.df, _names(order) or self.order, col, agg, name))
+            keys = _names(order) or self.order
+            base, made = self._chain("running", keys, name, col)
+            made[name] = (col, agg)
+            return self._linked("running", keys, base, made, positions.running(base.df, keys, made, base._slices(keys)))
         w = Window.partitionBy(*_names(by)).orderBy(*self._by(order)).rowsBetween(Window.unboundedPreceding, 0)
         return self.with_columns(**{name: A.windowed(agg, F.col(col), w, q)})
 
-    def _beside(self, order, back: int, ahead: int, make) -> Frame:
+    def _beside(self, order, back: int, ahead: int, name: str, col: str, make) -> Frame:
         self._by(order)
-        return self._new(positions.beside(self.df, _names(order) or self.order, back, ahead, make))
+        keys = _names(order) or self.order
+        base, made = self._chain("beside", keys, name, col)
+        made[name] = (back, ahead, make)
+        if base._numbered is None or base._numbered[0] != keys:
+            base._numbered = keys, positions.number(base.df, keys, "_row", cuts=base._slices(keys))
+        back, ahead = (max(m[i] for m in made.values()) for i in (0, 1))
+        return self._linked("beside", keys, base, made, positions.beside(base.df, keys, back, ahead, lambda w: {k: m[2](w) for k, m in made.items()}, base._numbered[1]))
+
+    def _chain(self, kind: str, keys: list[str], name: str, col: str) -> tuple[Frame, dict]:
+        """The frame before a chain of such operators and their columns, if ``col`` can join them in one pass; else this frame."""
+        if self._link is not None:
+            was, at, base, made = self._link
+            if was == kind and at == keys and col not in made and not set(made) & set(keys) and (name in made or name not in self.columns):
+                return base, dict(made)
+        return self, {}
+
+    def _linked(self, kind: str, keys: list[str], base: Frame, made: dict, df: DataFrame) -> Frame:
+        out = base._ordered(df, *made)
+        out._link = kind, keys, base, made
+        return out
 
     def _moved(self, name: str, col: str, periods: int, by, order, make) -> Frame:
         """``make(value some rows before)`` as a column."""
         if not _names(by):
-            return self._beside(order, max(periods, 0), max(-periods, 0), lambda w: {name: make(F.lag(col, periods).over(w))})
+            return self._beside(order, max(periods, 0), max(-periods, 0), name, col, lambda w: make(F.lag(col, periods).over(w)))
         return self.with_columns(**{name: make(F.lag(col, periods).over(self._at(by, order)))})
 
     def _at(self, by, order) -> Window:
@@ -304,7 +328,8 @@ class Frame:
             w = self._at(by, order).rowsBetween(Window.unboundedPreceding, 0)
             return self.with_columns(**{name: F.sum(F.coalesce(F.col(col).cast("double"), F.lit(0.0))).over(w)})
         self._by(order)
-        return self._new(positions.running_sum(self.df, _names(order) or self.order, F.coalesce(F.col(col).cast("double"), F.lit(0.0)), name))
+        keys = _names(order) or self.order
+        return self._ordered(positions.running_sum(self.df, keys, F.coalesce(F.col(col).cast("double"), F.lit(0.0)), name, self._slices(keys)), name)
 
     # -- order, limits, samples ---------------------------------------------------------------------------------
     def sort(self, *keys: str | Column, descending: bool | Sequence[bool] = False, nulls_last: bool = True) -> Frame:
@@ -332,7 +357,11 @@ class Frame:
     def with_row_number(self, name: str = "row", order=None) -> Frame:
         """0-based dense position, numbered in two phases."""
         self._by(order)
-        return self._new(positions.number(self.df, _names(order) or self.order, name))
+        keys = _names(order) or self.order
+        out = self._ordered(positions.number(self.df, keys, name, cuts=self._slices(keys)), name)
+        if name not in keys:
+            out._numbered = keys, out.df.withColumn("_row", F.col(name))
+        return out
 
     def slice(self, start: int, end: int | None = None) -> Frame:
         d = positions.number(self.df, [k for k in self.order] or self._by(), "_row")

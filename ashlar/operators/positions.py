@@ -88,17 +88,18 @@ def number(df: DataFrame, keys: list[str], name: str, by: list[str] | None = Non
     return _prefixed(df, keys, F.count(F.lit(1)), lambda w: (F.row_number().over(w) - 1).cast("long"), name, 0, cuts, keep)
 
 
-def running_sum(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
-    return _prefixed(df, keys, F.sum(x), lambda w: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), name, 0.0)
+def running_sum(df: DataFrame, keys: list[str], x: Column, name: str, cuts: list | None = None) -> DataFrame:
+    return _prefixed(df, keys, F.sum(x), lambda w: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), name, 0.0, cuts)
 
 
-def beside(df: DataFrame, keys: list[str], back: int, ahead: int, make) -> DataFrame:
+def beside(df: DataFrame, keys: list[str], back: int, ahead: int, make, numbered: DataFrame | None = None) -> DataFrame:
     """``df`` with the columns that ``make(window)`` gives over up to ``back`` rows before and ``ahead`` rows after each row.
 
-    Rows are numbered, and blocks of positions get copies of the rows next to them, so no task orders more than a block.
+    Rows are numbered (``numbered``: already, in ``_row``), and blocks of positions get copies of the rows next to them, so no task
+    orders more than a block.
     """
     width = max(1 << 16, back, ahead)
-    d = number(df, keys, "_row")
+    d = number(df, keys, "_row") if numbered is None else numbered
     b, i = F.floor(F.col("_row") / width), F.col("_row") % width
     at = [F.struct(b.alias("b"), F.lit(True).alias("own"))]
     if back:
@@ -144,32 +145,47 @@ def carried(df: DataFrame, keys: list[str], back: dict[str, Column], ahead: dict
     return d.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns], *[v.alias(k) for k, v in made.items() if k not in columns])
 
 
-def running(df: DataFrame, keys: list[str], col: str, kind: str, name: str) -> DataFrame:
-    """Running sum, mean, count, min or max from slices: each starts from the totals of those before it."""
-    cuts = boundaries(df, keys[0])
+def running(df: DataFrame, keys: list[str], made: dict[str, tuple[str, str]], cuts: list | None = None) -> DataFrame:
+    """Running sums, means, counts, minima or maxima (name -> column and kind) from slices: each starts from the totals of those before it."""
+    cuts = boundaries(df, keys[0]) if cuts is None else cuts
     d = df.withColumn("_b", bucket(df, keys[0], cuts))
-    x = F.col(col) if kind in ("min", "max", "count") else F.col(col).cast("double")
-    sums = {r["_b"]: r for r in d.groupBy("_b").agg(F.sum(F.col(col).cast("double")).alias("s") if kind in ("sum", "mean") else F.lit(None).cast("double").alias("s"), F.count(col).alias("n"), (F.min(x) if kind == "min" else F.max(x)).alias("e")).collect()}
-    rows, s, n, e = [], 0.0, 0, None
+    cols = list(dict.fromkeys(c for c, _ in made.values()))
+    at = {c: i for i, c in enumerate(cols)}
+    summed = {c for c, kind in made.values() if kind in ("sum", "mean")}
+    whole = {"s": lambda c: F.sum(F.col(c).cast("double")) if c in summed else F.lit(0.0), "n": F.count, "lo": F.min, "hi": F.max}
+    sums = {r["_b"]: r for r in d.groupBy("_b").agg(*[f(c).alias(f"{k}{at[c]}") for c in cols for k, f in whole.items()]).collect()}  # a row a slice
+    now: dict = {f"{k}{i}": v for i in range(len(cols)) for k, v in (("s", 0.0), ("n", 0), ("lo", None), ("hi", None))}
+    rows = []
     for b in range(len(cuts) + 1):
-        rows.append((b, s, n, e))
+        rows.append((b, *now.values()))
         if b in sums:
-            r = sums[b]
-            s, n = s + (r["s"] or 0.0), n + r["n"]
-            if r["e"] is not None:
-                e = r["e"] if e is None else min(e, r["e"]) if kind == "min" else max(e, r["e"])
-    kinds = StructType([StructField("_b", IntegerType()), StructField("_s", DoubleType()), StructField("_n", LongType()), StructField("_e", df.schema[col].dataType if kind in ("min", "max") else DoubleType())])
-    d = d.join(F.broadcast(df.sparkSession.createDataFrame([r if kind in ("min", "max") else (*r[:3], None) for r in rows], kinds)), "_b", "left")  # a row a slice
+            for k, v in now.items():
+                x = sums[b][k]
+                now[k] = v if x is None else x if v is None else v + x if k[0] in "sn" else (min if k[0] == "l" else max)(v, x, key=lambda y: (y != y, y))  # NaN is the largest
+    kinds = [StructField("_c", IntegerType())]
+    for c in cols:
+        kinds += [StructField(f"_{k}{at[c]}", {"s": DoubleType(), "n": LongType()}.get(k, df.schema[c].dataType)) for k in whole]
     w = Window.partitionBy("_b").orderBy(*_ordered(keys)).rowsBetween(Window.unboundedPreceding, 0)
-    count = F.count(col).over(w) + F.col("_n")
-    total = F.coalesce(F.sum(x).over(w), F.lit(0.0)) + F.col("_s") if kind in ("sum", "mean") else None
-    made = {
-        "count": lambda: count, "sum": lambda: F.when(count > 0, total), "mean": lambda: F.when(count > 0, total / count),
-        "min": lambda: F.least(F.min(x).over(w), F.col("_e")), "max": lambda: F.greatest(F.max(x).over(w), F.col("_e")),
-    }[kind]()
-    keep = [c for c in df.columns if c != name]
-    out = d.select(*keep, made.alias(name))
-    return out.select(*df.columns, *([] if name in df.columns else [name]))
+    use = {"count": "n", "sum": "ns", "mean": "ns", "min": "l", "max": "h"}
+    need = dict.fromkeys((k, c) for c, kind in made.values() for k in use[kind])
+    over = {"s": lambda c: F.sum(F.col(c).cast("double")), "n": F.count, "l": F.min, "h": F.max}
+    d = d.select("*", *[over[k](c).over(w).alias(f"_w{k}{at[c]}") for k, c in need])
+    d = d.join(F.broadcast(df.sparkSession.createDataFrame(rows, StructType(kinds))), F.col("_b") == F.col("_c"), "left")  # a row a slice
+
+    def out(c: str, kind: str) -> Column:
+        i = at[c]
+        if kind == "min":
+            return F.least(f"_wl{i}", f"_lo{i}")
+        if kind == "max":
+            return F.greatest(f"_wh{i}", f"_hi{i}")
+        count = F.col(f"_wn{i}") + F.col(f"_n{i}")
+        if kind == "count":
+            return count
+        total = F.coalesce(F.col(f"_ws{i}"), F.lit(0.0)) + F.col(f"_s{i}")
+        return F.when(count > 0, total if kind == "sum" else total / count)
+
+    new = {name: out(*s) for name, s in made.items()}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns], *[v.alias(k) for k, v in new.items() if k not in df.columns])
 
 
 def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str], names: list[str], method: str = "linear") -> DataFrame:

@@ -206,3 +206,25 @@ def test_quantiles_of_large_groups_by_slices(spark, monkeypatch):
     assert one[5] and not many[5] and one[0] == many[0] == ["g", "q1", "med", "n", "m6", "z_median", "z_max", "s"]
     for a, b in zip(one[1] + one[2] + one[3] + one[4], many[1] + many[2] + many[3] + many[4], strict=True):
         assert tuple(a) == pytest.approx(tuple(b), nan_ok=True) if None not in a else [str(x)[:9] for x in a] == [str(x)[:9] for x in b]
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_chains_of_shifts_and_windows_are_one_pass(spark):
+    rows = [{"i": i * 37 % 101, "v": None if i % 6 == 0 else float(i * 13 % 29)} for i in range(101)]
+    f = from_rows(spark, rows).with_order("i")
+    one, four = f.shift("a", "v"), f.shift("a", "v").shift("b", "v", -2).diff("c", "v", 3).rolling("m", "v", 4, "max")
+    assert _shuffles(four.df) == _shuffles(one.df) and four.columns == ["i", "v", "a", "b", "c", "m"]
+    v = {r["i"]: r["v"] for r in rows}
+    for r in four.with_row_number("n").shift("x", "n").df.collect():
+        i = r["i"]
+        past = [x for x in (v.get(k) for k in range(i - 3, i + 1)) if x is not None]
+        assert (r["n"], r["x"], r["a"], r["b"], r["m"]) == (i, i - 1 if i else None, v.get(i - 1), v.get(i + 2), max(past, default=None))
+        assert r["c"] == (None if v[i] is None or v.get(i - 3) is None else v[i] - v[i - 3])
+    # a column of the chain, or one that takes the place of another, is read as it is by then
+    for r in f.shift("a", "v").shift("b", "a").shift("v", "v", -1).shift("d", "v", 1).df.collect():
+        assert (r["b"], r["v"], r["d"]) == (v.get(r["i"] - 2), v.get(r["i"] + 1), v[r["i"]] if r["i"] else None)
+    for r in f.with_row_number("n").filter(F.col("n") % 2 == 0).shift("x", "n").df.collect():
+        assert r["x"] == (r["n"] - 2 if r["n"] else None)
